@@ -1,0 +1 @@
+"""The workload is batch over files; there are no streaming operators to offer."""
