@@ -1,8 +1,7 @@
 """Registered queries, grouped by topic; importing a topic registers its queries."""
 
-from loomcast.plans import reshape  # noqa: F401
+from loomcast.plans import reshape, validation  # noqa: F401
 from loomcast.plans.registry import ORACLE, QUERIES
-
-flagship = None
+from loomcast.plans.validation import flagship
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

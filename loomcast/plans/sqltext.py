@@ -115,7 +115,7 @@ CTES: dict[str, str] = {
     0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])) as qs from scale""",
     "binned": """
   select id, sales_scale, sales_scale / (select sum(sales_scale) from scale) as weight,
-         len(list_filter(qs, q -> q < sales_scale)) as k,
+         len(list_filter(qs, lambda q: q < sales_scale)) as k,
          concat('(', case when k = 0 then '-inf' else cast(round(list_sort(qs)[k], 6) as varchar) end, ', ',
                 case when k = len(qs) then 'inf' else cast(round(list_sort(qs)[k + 1], 6) as varchar) end,
                 ']') as bin
