@@ -88,15 +88,19 @@ def future_grid(df: DataFrame, h: int = 13, id_col: str = "id", time_col: str =
 # ---- array form -------------------------------------------------------------
 
 
-def to_series(panel: DataFrame, value: str = "sales") -> DataFrame:
-    """One row per series: dates and values in date order.
+def series_keys(df: DataFrame) -> list[str]:
+    """Key columns that name a series in this frame.
 
-    Grouping by the key columns beside `id` keeps the partitioning of a panel that
-    is already hashed on its keys, so no second shuffle is added.
+    Using the key columns beside `id` keeps the partitioning of a panel that is
+    already hashed on its keys, so no second shuffle is added.
     """
-    by = [k for k in KEYS if k in panel.columns] + ["id"]
+    return [k for k in KEYS if k in df.columns] + ["id"]
+
+
+def to_series(panel: DataFrame, value: str = "sales") -> DataFrame:
+    """One row per series: dates and values in date order."""
     pts = F.sort_array(F.collect_list(F.struct("date", F.col(value).alias("v"))))
-    return panel.groupBy(*by).agg(pts.alias("p")).select(
+    return panel.groupBy(*series_keys(panel)).agg(pts.alias("p")).select(
         "id", F.col("p.date").alias("dates"), F.col("p.v").alias("y")
     )
 
