@@ -105,29 +105,35 @@ def to_series(panel: DataFrame, value: str = "sales") -> DataFrame:
     )
 
 
+def train_length(end: Column) -> Column:
+    """Number of entries of `dates` up to `end`.
+
+    On a gapless weekly series it follows from the first date alone; only a series
+    with missing weeks has its dates counted.
+    """
+    first, last = F.element_at("dates", 1), F.element_at("dates", -1)
+    gapless = F.floor(F.datediff(last, first) / 7) + 1 == F.size("dates")
+    by_dates = F.floor(F.datediff(end, first) / 7) + 1
+    counted = F.size(F.filter("dates", lambda d: d <= end))
+    return F.when(end < first, 0).when(gapless, by_dates).otherwise(counted).cast("int")
+
+
 def fold_series(
     series: DataFrame, cv: CvConfig = DEFAULT_CV, *, folds: bool = True, live: bool = False
 ) -> DataFrame:
     """One row per (series, fold): `id, fold, cutoff_date, n, y` with train values only.
 
-    Narrow: no shuffle.  On a gapless weekly series the train length follows from
-    the dates alone; otherwise the dates up to the fold's end are counted.
+    Narrow: no shuffle.
     """
     wanted = (list(range(cv.n_windows)) if folds else []) + ([LIVE] if live else [])
     last = F.element_at("dates", -1)
-    first = F.element_at("dates", 1)
-    size = F.size("dates")
     end = F.when(F.col("fold") == LIVE, last).otherwise(
         weeks_back(last, F.col("fold") * cv.step + cv.h)
     )
-    gapless = F.floor(F.datediff(last, first) / 7) + 1 == size
-    by_dates = F.floor(F.datediff(F.col("train_end"), first) / 7) + 1
-    counted = F.size(F.filter("dates", lambda d: d <= F.col("train_end")))
-    n = F.when(F.col("train_end") < first, 0).when(gapless, by_dates).otherwise(counted)
     return (
         series.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in wanted])))
         .withColumn("train_end", end)
-        .withColumn("n", n.cast("int"))
+        .withColumn("n", train_length(F.col("train_end")))
         .filter(F.col("n") > 0)
         .select(
             "id",

@@ -556,3 +556,9 @@ def class_model_table(spark, sf_dir):
 def class_model_order(spark, sf_dir):
     """Models ordered within each class (Q7)."""
     return rounded(dashboard.class_model_order(_class_errors(spark, sf_dir)))
+
+
+@query()
+def fitted_features(spark, sf_dir):
+    """All features including the fitted ones, every fold."""
+    return features.calculate_cv_tsfeatures(primary(spark, sf_dir))
