@@ -27,7 +27,12 @@ SeriesFn = Callable[[np.ndarray, int], np.ndarray]
 
 
 def fold_lengths(
-    series: DataFrame, cv: CvConfig, *, folds: bool = True, live: bool = False
+    series: DataFrame,
+    cv: CvConfig,
+    *,
+    folds: bool = True,
+    live: bool = False,
+    keep_dates: bool = False,
 ) -> DataFrame:
     """One row per series: `id, y`, and arrays `fold, cutoff_date, n` (0 = no train rows)."""
     wanted = (list(range(cv.n_windows)) if folds else []) + ([LIVE] if live else [])
@@ -43,7 +48,7 @@ def fold_lengths(
     return (
         series.withColumn("n", ns)
         .withColumn("cutoff_date", cut)
-        .select("id", "y", "n", "cutoff_date")
+        .select("id", *(["dates"] if keep_dates else []), "y", "n", "cutoff_date")
         .withColumn("fold", F.array(*[F.lit(f) for f in wanted]))
     )
 

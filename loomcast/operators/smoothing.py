@@ -99,7 +99,7 @@ def imapa(y: np.ndarray, n: np.ndarray) -> np.ndarray:
         at = np.maximum(nj, 1)[:, None] - 1
         count = np.take_along_axis(demands, at, 1)[:, 0]
         span = np.take_along_axis(last_pos, at, 1)[:, 0]
-        levels = np.where(count > 0, np.maximum(np.rint(span / np.maximum(count, 1)), 1), 0).astype(int)
+        levels = np.where(count > 0, np.maximum(np.floor(span / np.maximum(count, 1) + 0.5), 1), 0).astype(int)
         total = np.zeros(len(y))
         for k in range(1, int(levels.max(initial=0)) + 1):
             rows = np.flatnonzero((levels >= k) & (nj >= k))

@@ -124,12 +124,11 @@ def rolling_quantiles(spark, sf_dir):
 @query(
     """select id, date, case when len(v) > 0 then list_reduce(v, lambda s, x: x * 0.9::double + s * (1 - 0.9::double)) end as ewm from (
          select id, date, list(sales) over (partition by id order by date
-           rows between 32 preceding and 1 preceding) as v from prim)""",
-    "ewm",
+           rows between 32 preceding and 1 preceding) as v from prim)"""
 )
 def ewm_feature(spark, sf_dir):
     """Exponentially weighted mean of lagged sales."""
-    return rounded(primary(spark, sf_dir).select("id", "date", Wf.ewm_mean("sales").alias("ewm")))
+    return primary(spark, sf_dir).select("id", "date", Wf.ewm_mean("sales").alias("ewm"))
 
 
 _M = "avg(sales) over (partition by id order by date rows between {} preceding and {} preceding)"
