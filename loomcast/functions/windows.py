@@ -71,15 +71,29 @@ def rolling(
     return F.when(F.count(c).over(frame) >= need, ROLLING[stat](c).over(frame))
 
 
-def rolling_quantile(
-    col: Column | str, q: float, window: int, min_samples: int | None = None, lag: int = 0, by="id"
-) -> Column:
-    """Interpolated quantile of the frame's values, taken from its sorted array."""
-    c = as_col(col)
+def sorted_frame(col: Column | str, window: int, lag: int = 0, by="id") -> Column:
+    """Sorted array of the window's values; keep it as a column before reading from it."""
     frame = series_window(by).rowsBetween(-(window + lag - 1), -lag)
+    return F.sort_array(F.collect_list(as_col(col)).over(frame))
+
+
+def quantile_columns(year: str, quantiles: Sequence[float], min_samples: int) -> dict[str, Column]:
+    """Quantiles of a sorted array column; null below `min_samples` values."""
+    return {
+        f"q{int(q * 100)}": F.when(F.size(year) >= min_samples, array_quantile(F.col(year), q))
+        for q in quantiles
+    }
+
+
+def with_rolling_quantiles(
+    df: DataFrame, col: str, quantiles: Sequence[float], window: int, min_samples: int | None = None,
+    lag: int = 0, by="id", prefix: str = "",
+) -> DataFrame:
+    """Interpolated quantiles of a row window; the window is collected and sorted once."""
     need = window if min_samples is None else min_samples
-    vals = F.sort_array(F.collect_list(c).over(frame))
-    return F.when(F.size(vals) >= need, array_quantile(vals, q))
+    rows = df.withColumn("_sorted", sorted_frame(col, window, lag, by))
+    cols = quantile_columns("_sorted", quantiles, need)
+    return rows.withColumns({prefix + k: c for k, c in cols.items()}).drop("_sorted")
 
 
 def array_quantile(sorted_vals: Column, q: float) -> Column:

@@ -114,11 +114,9 @@ def rolling_features(spark, sf_dir):
 )
 def rolling_quantiles(spark, sf_dir):
     """Rolling quartiles of lagged sales."""
-    cols = [
-        Wf.rolling_quantile("sales", q, 52, 13, 1).alias(f"rolling_q{int(q * 100)}")
-        for q in (0.25, 0.5, 0.75)
-    ]
-    return primary(spark, sf_dir).select("id", "date", *cols)
+    rows = primary(spark, sf_dir).select("id", "date", "sales")
+    out = Wf.with_rolling_quantiles(rows, "sales", [0.25, 0.5, 0.75], 52, 13, 1, prefix="rolling_")
+    return out.drop("sales")
 
 
 @query(
