@@ -33,8 +33,8 @@ _PICK = "case " + " ".join(f"when {{c}} = '{k}' then prediction_{m}" for k, m in
 )
 def class_rule_folds(spark, sf_dir):
     """Model chosen by demand class, per fold."""
-    prim = primary(spark, sf_dir)
-    cls = classes.calculate_cv_classification(prim, features.seasonal_acf(prim))
+    prim = materialize(primary(spark, sf_dir), "panel")
+    cls = classes.classify_panel(prim)
     return rounded(rules.class_ensemble(naive.cross_validate(prim), cls, _RULE))
 
 
@@ -60,8 +60,8 @@ register(
 )
 def class_rule_live(spark, sf_dir):
     """Model chosen by demand class on all data of thin series."""
-    prim = thin(spark, sf_dir)
-    cls = classes.calculate_live_classification(prim, features.seasonal_acf(prim, live=True))
+    prim = materialize(thin(spark, sf_dir), "panel")
+    cls = classes.classify_panel(prim, live=True)
     return rounded(rules.class_ensemble(naive.live_forecast(prim), cls, _RULE))
 
 
@@ -105,9 +105,9 @@ register(
 )
 def override_folds(spark, sf_dir):
     """Base ensemble overridden by class and by single series, per fold."""
-    prim = primary(spark, sf_dir)
+    prim = materialize(primary(spark, sf_dir), "panel")
     fc = materialize(cv_forecast(prim), "forecast")
-    cls = classes.calculate_cv_classification(prim, features.seasonal_acf(prim))
+    cls = classes.classify_panel(prim)
     single = fc.drop(MIX)
     return rounded(
         rules.divine_ensemble(
@@ -128,9 +128,9 @@ def override_folds(spark, sf_dir):
 )
 def override_live(spark, sf_dir):
     """The same on all data of thin series."""
-    prim = thin(spark, sf_dir)
+    prim = materialize(thin(spark, sf_dir), "panel")
     live = materialize(naive.live_forecast(prim), "forecast")
-    cls = classes.calculate_live_classification(prim, features.seasonal_acf(prim, live=True))
+    cls = classes.classify_panel(prim, live=True)
     base = live.select("id", "date", PRED + "HistoricAverage")
     rest = live.drop(PRED + "HistoricAverage")
     return rounded(
@@ -154,7 +154,7 @@ register(
 )
 def weighted_sum(spark, sf_dir):
     """Forecasts times per-series weights, summed over models."""
-    prim = primary(spark, sf_dir)
+    prim = materialize(primary(spark, sf_dir), "panel")
     fc = materialize(cv_forecast(prim), "forecast")
     err = scores.calc_errors(fc, prim).groupBy("id", "model").agg(F.avg(F.abs("error")).alias("a"))
     inv = 1 / (1 + F.col("a"))
@@ -275,7 +275,7 @@ def full_leaderboard(spark, sf_dir):
     prim, fc, total = _candidates(spark, sf_dir)
     ow = materialize(weights.cross_validate(fc, prim, total), "ow")
     st = materialize(stacking.cross_validate(fc, prim, total), "st")
-    cls = classes.calculate_cv_classification(prim, features.seasonal_acf(prim))
+    cls = classes.classify_panel(prim)
     rule = rules.class_ensemble(fc, cls, {**rules.CLASS_MODELS, "regular": "AutoETS", "small_sales": "AutoETS"})
     divine = rules.divine_ensemble(cls, fc, ow)
     everything = joins.join_cv_preds(with_mix(fc), ow, st, rule, divine, check=False)

@@ -13,6 +13,7 @@ from loomcast.operators.cv import DEFAULT_CV, fold_series, to_series
 from loomcast.plans.base import cv_forecast, primary, rounded, thin
 from loomcast.plans.registry import query
 from loomcast.plans.sqltext import register
+from loomcast.sources.lineage import materialize
 
 # ---- windows -----------------------------------------------------------------------------
 
@@ -481,13 +482,13 @@ def longest_streaks(spark, sf_dir):
 def fold_classes(spark, sf_dir):
     """Flags and class of every series and fold."""
     prim = primary(spark, sf_dir)
-    return classes.calculate_cv_classification(prim, features.seasonal_acf(prim))
+    return classes.classify_panel(prim)
 
 
 @query(f"select id, cutoff_date, {_FLAGS} from clss")
 def fold_classes_sparse(spark, sf_dir):
-    """Classes of thin series, where the zero classes occur."""
-    prim = thin(spark, sf_dir)
+    """Classes of thin series, where the zero classes occur; features as a table."""
+    prim = materialize(thin(spark, sf_dir), "panel")
     return classes.calculate_cv_classification(prim, features.seasonal_acf(prim))
 
 
@@ -495,14 +496,14 @@ def fold_classes_sparse(spark, sf_dir):
 def live_classes(spark, sf_dir):
     """Classes on all data."""
     prim = thin(spark, sf_dir)
-    return classes.calculate_live_classification(prim, features.seasonal_acf(prim, live=True))
+    return classes.classify_panel(prim, live=True)
 
 
 @query("select id, class_gaps from clsl")
 def gap_flag(spark, sf_dir):
     """Long interior zero streaks (C7, off by default)."""
     prim = thin(spark, sf_dir)
-    out = classes.calculate_live_classification(prim, features.seasonal_acf(prim, live=True), True)
+    out = classes.classify_panel(prim, live=True, with_gaps=True)
     return out.select("id", "class_gaps")
 
 
@@ -513,8 +514,8 @@ def class_share(spark, sf_dir):
 
 
 def _class_errors(spark, sf_dir):
-    prim = primary(spark, sf_dir)
-    cls = classes.calculate_cv_classification(prim, features.seasonal_acf(prim))
+    prim = materialize(primary(spark, sf_dir), "panel")
+    cls = classes.classify_panel(prim)
     # series of one fold are left without a class on purpose: they report under null
     cls = cls.filter(F.col("cutoff_date") != F.lit("2001-08-06").cast("date"))
     return scores.class_errors(scores.calc_errors(cv_forecast(prim), prim), cls)

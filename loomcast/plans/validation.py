@@ -149,12 +149,12 @@ for _name, (_alias, _f, _text) in _PARTS.items():
 
 register(
     sfc="""
-  select s.id, p.date, p.sales, y.sales as pred from
+  select s.id, p.date, p.sales, case when c.n >= 52 then y.sales else 0 end as pred from
     (select b.id, b.mx from (select id, max(date) mx, min(date) mn from sprim group by 1) b where mn <= mx - 91) s
     join sprim p on p.id = s.id and p.date > s.mx - 91
     join (select id, count(*) as n from (select p.id from sprim p join
             (select id, max(date) mx from sprim group by 1) m on p.id = m.id and p.date <= mx - 91)
-          group by 1) c on c.id = s.id and c.n >= 52
+          group by 1) c on c.id = s.id
     left join sprim y on y.id = s.id and y.date = p.date - 364""",
 )
 
@@ -162,8 +162,7 @@ register(
 def _thin_forecast(spark, sf_dir):
     prim = thin(spark, sf_dir)
     one = C.CvConfig(n_windows=1)
-    folded = C.fold_series(C.to_series(prim), one).filter(F.col("n") >= 52)
-    return naive.baseline_forecasts(folded, one).drop("fold"), prim
+    return naive.cross_validate(prim, one), prim
 
 
 @query(
