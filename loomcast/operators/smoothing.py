@@ -121,7 +121,7 @@ _BETA = np.array([0.01, 0.05, 0.1, 0.3, 0.6])
 _PHI = np.array([0.8, 0.9, 0.98])
 
 
-def _ets_grid() -> np.ndarray:
+def ets_grid() -> np.ndarray:
     """Rows (alpha, beta, phi, parameters): ANN, AAN and damped AAN."""
     rows = [(a, 0.0, 0.0, 3) for a in _ALPHA]
     rows += [(a, a * b, 1.0, 5) for a in _ALPHA for b in _BETA]
@@ -131,7 +131,7 @@ def _ets_grid() -> np.ndarray:
 
 def auto_ets(y: np.ndarray, n: np.ndarray, h: int = H) -> np.ndarray:
     """Non-seasonal additive forms and the multiplicative-error level, chosen by AICc."""
-    grid = _ets_grid()
+    grid = ets_grid()
     al, be, ph = (grid[None, :, i] for i in range(3))
     level = np.repeat(y[:, :1], len(grid), axis=1)
     slope = np.zeros_like(level)
