@@ -17,6 +17,7 @@ from loomcast.functions.expr import (
     model_names,
 )
 from loomcast.functions.windows import forward_fill
+from loomcast.operators.cv import series_keys
 from loomcast.operators.panel import forecast_to_long, pivot_mean, subsample
 from loomcast.operators.scores import grouped_scores, scores_to_long, with_sales
 
@@ -35,7 +36,7 @@ def _rollup_id(kept: Sequence[str]) -> Column:
 def sales_rollup(sales: DataFrame, dropped: Sequence[str] = ()) -> DataFrame:
     """Sum of sales and mean forward-filled price per date, over the dropped keys."""
     kept = [k for k in KEYS if k not in dropped]
-    filled = sales.withColumn("price", forward_fill("price"))
+    filled = sales.withColumn("price", forward_fill("price", series_keys(sales)))
     return (
         filled.groupBy("date", *kept)
         .agg(F.sum("sales").alias("sales"), F.avg("price").alias("price"))
@@ -45,7 +46,7 @@ def sales_rollup(sales: DataFrame, dropped: Sequence[str] = ()) -> DataFrame:
 
 def sales_cube(sales: DataFrame) -> DataFrame:
     """All eight key subsets at once; `level` is the bit mask of dropped keys."""
-    filled = sales.withColumn("price", forward_fill("price"))
+    filled = sales.withColumn("price", forward_fill("price", series_keys(sales)))
     subsets = [
         [F.col(k) for k in kept] + [F.col("date")]
         for n in range(len(KEYS) + 1)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.config import KEYS, PRED
-from loomcast.functions.expr import cols_with_prefix
+from loomcast.functions.expr import cols_with_prefix, strip_prefix
 from loomcast.operators.panel import pivot_dates, split_id
+from loomcast.sources.lineage import materialize
 
 
 def _forecast_dates(preds: DataFrame) -> list[str]:
@@ -37,14 +38,35 @@ def format_submission(
     return raw_keys.join(wide, KEYS, "full")
 
 
+def submission_table(
+    forecast: DataFrame, raw_sales: DataFrame, check: bool = True
+) -> DataFrame:
+    """All models in one pivot: `model`, the keys, one column per week."""
+    dates = _forecast_dates(forecast)
+    cols = cols_with_prefix(forecast)
+    long = forecast.unpivot(["id", "date"], cols, "model", "pred")
+    keyed = long.select(
+        F.lower(strip_prefix("model")).alias("model"),
+        *split_id(),
+        F.date_format("date", "yyyy-MM-dd").alias("date"),
+        "pred",
+    )
+    table = materialize(pivot_dates(keyed, ["model", *KEYS], "pred", dates), "submissions")
+    if check:
+        expected = raw_sales.count()
+        for r in table.groupBy("model").count().collect():
+            if r["count"] != expected:
+                raise ValueError(f"{r['model']} has {r['count']} rows, raw file {expected}")
+    return table
+
+
 def make_submissions(
     forecast: DataFrame, raw_sales: DataFrame, check: bool = True
 ) -> dict[str, DataFrame]:
-    """One wide frame per model, named in lower case."""
-    dates = _forecast_dates(forecast)
+    """One wide frame per model, named in lower case; all cut from one table."""
+    table = submission_table(forecast, raw_sales, check)
+    raw_keys = raw_sales.select(*[F.col(k).cast("bigint").alias(k) for k in KEYS])
+    names = [c[len(PRED):].lower() for c in cols_with_prefix(forecast)]
     return {
-        col[len(PRED):].lower(): format_submission(
-            forecast.select("id", "date", F.col(col).alias("pred")), raw_sales, dates, check
-        )
-        for col in cols_with_prefix(forecast)
+        n: raw_keys.join(table.filter(F.col("model") == n).drop("model"), KEYS, "full") for n in names
     }

@@ -14,7 +14,7 @@ from loomcast.operators import dashboard, joins, naive, panel, scores, submissio
 from loomcast.plans.base import MIX, cv_forecast, dates_of, primary, rounded
 from loomcast.plans.registry import query
 from loomcast.sources import panels, tables
-from loomcast.sources.lineage import scratch_path
+from loomcast.sources.lineage import materialize, scratch_path
 
 # ---- inputs in the raw wide layout ------------------------------------------------
 
@@ -382,7 +382,7 @@ def format_submission(spark, sf_dir):
 )
 def submission_per_model(spark, sf_dir):
     """One frame per model, stacked with a row total."""
-    cube = panels.weekly_panel(spark, sf_dir)
+    cube = materialize(panels.weekly_panel(spark, sf_dir), "panel")
     live = naive.live_forecast(panel.remove_leading_zeros(cube))
     frames = submission.make_submissions(live, cube.select(*KEYS).distinct())
     out = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomcast.config import TSF
+from loomcast.config import KEYS, TSF
 from loomcast.functions import dates as D
 from loomcast.functions import windows as Wf
 from loomcast.functions.expr import float_div
@@ -17,6 +17,10 @@ from loomcast.sources.lineage import materialize
 
 # ---- windows -----------------------------------------------------------------------------
 
+# A series by all its key columns: the trimmed panel is already hashed on the keys, so
+# windows over these columns need no further shuffle.
+BY = [*KEYS, "id"]
+
 # Lag sets of the two lag-feature models.
 RECURSIVE_LAGS = [1, 2, 3, 6, 13, 26, 52]
 DIRECT_LAGS = list(range(4, 53, 4))
@@ -29,7 +33,7 @@ DIRECT_LAGS = list(range(4, 53, 4))
 )
 def partition_stats(spark, sf_dir):
     """Series maximum, minimum and length on every row."""
-    w = Wf.W.partitionBy("id")
+    w = Wf.W.partitionBy(*BY)
     return primary(spark, sf_dir).select(
         "id", "date", F.max("date").over(w).alias("last_date"),
         F.min("date").over(w).alias("first_date"), F.count("*").over(w).alias("n"),
@@ -39,7 +43,7 @@ def partition_stats(spark, sf_dir):
 @query("select id, date, sum(sales) over (partition by id order by date) as cum_sales from prim")
 def running_sum(spark, sf_dir):
     """Running total."""
-    return primary(spark, sf_dir).select("id", "date", Wf.running_sum("sales").alias("cum_sales"))
+    return primary(spark, sf_dir).select("id", "date", Wf.running_sum("sales", BY).alias("cum_sales"))
 
 
 @query(
@@ -47,7 +51,7 @@ def running_sum(spark, sf_dir):
 )
 def price_group(spark, sf_dir):
     """Series mean of the forward-filled price."""
-    return rounded(Wf.price_group(primary(spark, sf_dir)).select("id", "price_group").distinct())
+    return rounded(Wf.price_group(primary(spark, sf_dir), BY).select("id", "price_group").distinct())
 
 
 @query(
@@ -56,7 +60,7 @@ def price_group(spark, sf_dir):
 )
 def tail_rows(spark, sf_dir):
     """Last thirteen rows of each series."""
-    return Wf.tail_rows(primary(spark, sf_dir).select("id", "date", "sales"), 13)
+    return Wf.tail_rows(primary(spark, sf_dir).select(*BY, "date", "sales"), 13, BY).drop(*KEYS)
 
 
 _LAGS = sorted(set(RECURSIVE_LAGS + DIRECT_LAGS))
@@ -68,7 +72,7 @@ _LAGS = sorted(set(RECURSIVE_LAGS + DIRECT_LAGS))
 )
 def lag_features(spark, sf_dir):
     """All lags of both lag models."""
-    lags = Wf.lag_columns("sales", _LAGS)
+    lags = Wf.lag_columns("sales", _LAGS, BY)
     return primary(spark, sf_dir).select("id", "date", *[c.alias(k) for k, c in lags.items()])
 
 
@@ -96,12 +100,12 @@ def _frame(stat, w, need, lag, name):
 def rolling_features(spark, sf_dir):
     """Rolling mean, min, max and standard deviation of lagged sales."""
     cols = {
-        "rolling_mean13": Wf.rolling("mean", "sales", 13, 3, 1),
-        "rolling_mean52": Wf.rolling("mean", "sales", 52, 13, 1),
-        "rolling_min52": Wf.rolling("min", "sales", 52, 13, 1),
-        "rolling_max52": Wf.rolling("max", "sales", 52, 13, 1),
-        "rolling_std52": Wf.rolling("std", "sales", 52, 13, 1),
-        "rolling_mean52_lag52": Wf.rolling("mean", "sales", 52, 1, 52),
+        "rolling_mean13": Wf.rolling("mean", "sales", 13, 3, 1, BY),
+        "rolling_mean52": Wf.rolling("mean", "sales", 52, 13, 1, BY),
+        "rolling_min52": Wf.rolling("min", "sales", 52, 13, 1, BY),
+        "rolling_max52": Wf.rolling("max", "sales", 52, 13, 1, BY),
+        "rolling_std52": Wf.rolling("std", "sales", 52, 13, 1, BY),
+        "rolling_mean52_lag52": Wf.rolling("mean", "sales", 52, 1, 52, BY),
     }
     return rounded(
         primary(spark, sf_dir).select("id", "date", *[c.alias(k) for k, c in cols.items()]), 9
@@ -115,9 +119,11 @@ def rolling_features(spark, sf_dir):
 )
 def rolling_quantiles(spark, sf_dir):
     """Rolling quartiles of lagged sales."""
-    rows = primary(spark, sf_dir).select("id", "date", "sales")
-    out = Wf.with_rolling_quantiles(rows, "sales", [0.25, 0.5, 0.75], 52, 13, 1, prefix="rolling_")
-    return out.drop("sales")
+    rows = primary(spark, sf_dir).select(*BY, "date", "sales")
+    out = Wf.with_rolling_quantiles(
+        rows, "sales", [0.25, 0.5, 0.75], 52, 13, 1, by=BY, prefix="rolling_"
+    )
+    return out.drop(*KEYS, "sales")
 
 
 @query(
@@ -127,7 +133,7 @@ def rolling_quantiles(spark, sf_dir):
 )
 def ewm_feature(spark, sf_dir):
     """Exponentially weighted mean of lagged sales."""
-    return primary(spark, sf_dir).select("id", "date", Wf.ewm_mean("sales").alias("ewm"))
+    return primary(spark, sf_dir).select("id", "date", Wf.ewm_mean("sales", by=BY).alias("ewm"))
 
 
 _M = "avg(sales) over (partition by id order by date rows between {} preceding and {} preceding)"
@@ -152,7 +158,7 @@ def _safe(num, den):
 def trend_momentum(spark, sf_dir):
     """Value over the previous rolling mean; mean over the mean a window ago."""
     df = thin(spark, sf_dir).select(
-        "id", "date", Wf.trend("sales", 13).alias("trend13"), Wf.momentum("sales", 13).alias("momentum13")
+        "id", "date", Wf.trend("sales", 13, BY).alias("trend13"), Wf.momentum("sales", 13, BY).alias("momentum13")
     )
     keep = [
         F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.col(c)).otherwise(F.round(c, 6)).alias(c)
@@ -170,7 +176,7 @@ def trend_momentum(spark, sf_dir):
 )
 def rolling_zero_share(spark, sf_dir):
     """Share of zero weeks in a window; the first full window stays NaN."""
-    z = Wf.rolling_zero_share("sales", 7)
+    z = Wf.rolling_zero_share("sales", 7, BY)
     return primary(spark, sf_dir).select(
         "id", "date", F.when(F.isnan(z), z).otherwise(F.round(z, 6)).alias("zero_share")
     )
@@ -186,9 +192,9 @@ def rolling_zero_share(spark, sf_dir):
 )
 def rolling_lines(spark, sf_dir):
     """Rolling line: the intercept with the narrow divisor, and the true slope."""
-    df = primary(spark, sf_dir).select("id", "date", "sales")
-    df = Wf.rolling_intercept(df, "sales", 7, "intercept")
-    df = Wf.rolling_slope(df, "sales", 7, "slope")
+    df = primary(spark, sf_dir).select(*BY, "date", "sales")
+    df = Wf.rolling_intercept(df, "sales", 7, "intercept", BY)
+    df = Wf.rolling_slope(df, "sales", 7, "slope", BY)
     keep = [
         F.when(F.isnan(c), F.col(c)).otherwise(F.round(c, 6)).alias(c) for c in ("intercept", "slope")
     ]
