@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomcast.config import DEFAULT_CV, PRED, CvConfig
 from loomcast.functions.expr import clean_forecast
 from loomcast.operators.cv import LIVE, to_series, train_length
+from loomcast.sources.shipping import ship_package
 
 CHUNK = 512  # series per kernel call: keeps the working arrays inside the cache
 
@@ -112,6 +113,7 @@ def map_folds(lengths: DataFrame, columns: Mapping[str, str], compute: Callable)
                 names = ["id", "fold", "cutoff_date", *columns]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    ship_package(lengths.sparkSession)
     return lengths.mapInArrow(run, schema)
 
 
