@@ -28,7 +28,8 @@ def format_submission(
     if dates != sorted(dates):
         raise ValueError("date columns are not in order")
     keyed = preds.select(*split_id(), F.date_format("date", "yyyy-MM-dd").alias("date"), "pred")
-    wide = pivot_dates(keyed, KEYS, "pred", dates)
+    # written once: the check and the caller read the same rows
+    wide = materialize(pivot_dates(keyed, KEYS, "pred", dates), "submission")
     raw_keys = raw_sales.select(*[F.col(k).cast("bigint").alias(k) for k in KEYS])
     if check:
         sides = wide.select(F.lit(1).alias("w")).unionAll(raw_keys.select(F.lit(0).alias("w")))
