@@ -6,25 +6,17 @@ stages prune columns; it replaces row-format checkpoints for multi-pass jobs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by `spark.checkpoint.dir`; a local session may fall back to temp."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder named by `spark.checkpoint.dir`; where it is unset, one below the warehouse folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="loomcast-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lineage"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
