@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import quality
+from loomcast.llm import quality, recompression
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars"
     )
+
+
+@query(r"""
+with base as (
+  select row_number() over () as rid, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+win as (
+  select rid, doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) as w
+  from (select rid, doc_id, ws, unnest(range(1, len(ws) - 18)) as i from base where len(ws) >= 20)),
+late as (
+  select rid, i from (select rid, doc_id, i, min((doc_id, i)) over (partition by w) as f from win)
+  where (doc_id, i) > f),
+gone as (select distinct rid, unnest(range(i, i + 20)) as p from late),
+removed as (select rid, list(p) as ps, count(*) as n from gone group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+       sha256(array_to_string(
+         case when n is null then ws
+              else list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: not list_contains(ps, z[2])), lambda z: z[1]) end,
+         ' ')) as kept_sha256
+from base left join removed using (rid)
+""")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in 20-word windows that start earlier elsewhere, over every document."""
+    out = recompression.repeated_windows(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
