@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import quality, recompression
+from loomcast.llm import bitplanes, packing, quality, recompression, wordpieces
+from loomcast.sources.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return wrap
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -105,3 +113,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in 20-word windows that start earlier elsewhere, over every document."""
     out = recompression.repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as compressed byte planes and read back."""
+    out = scratch_path(spark, "token-ids")
+    bitplanes.write_ids(table(spark, sf_dir, "documents"), out, vocabulary("word_bpe_49k.json"))
+    rows = bitplanes.read_ids(spark, out)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match token counts of every document."""
+    return wordpieces.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query()
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
