@@ -119,7 +119,7 @@ def pick_symbols(words: np.ndarray, first_word: np.ndarray, width: int, rounds:
 
 LEAST_ID = -(1 << 63)
 _PARSED = (
-    "key long, sha string, tag long, n_words long, symbols array<long>, twice array<boolean>, "
+    "key long, sha string, n_words long, symbols array<long>, twice array<boolean>, "
     "starts array<int>, counts array<int>"
 )
 _WINDOWS = "key long, tag int, start int, n int, w1 long, w2 long, known boolean"
@@ -129,10 +129,6 @@ def _joined(text: bytes) -> bytes:
     return b" ".join(text.split())
 
 
-def _tag(sha: str) -> int:
-    return int.from_bytes(bytes.fromhex(sha[:16]), "little", signed=True)
-
-
 def _tag32(sha: str) -> int:
     return int.from_bytes(bytes.fromhex(sha[:8]), "little", signed=True)
 
@@ -161,14 +157,13 @@ class _Parser:
                 [
                     rows.column(0),
                     pa.array(shas, pa.string()),
-                    pa.array([_tag(s) for s in shas], pa.int64()),
                     pa.array(np.diff(first), pa.int64()),
                     _lists(T.as_long(hashed), at, pa.int64()),
                     _lists(twice, at, pa.bool_()),
                     _lists(start, at, pa.int32()),
                     _lists(count, at, pa.int32()),
                 ],
-                ["key", "sha", "tag", "n_words", "symbols", "twice", "starts", "counts"],
+                ["key", "sha", "n_words", "symbols", "twice", "starts", "counts"],
             )
 
 
@@ -211,7 +206,7 @@ class _Windows:
             for i, (begin, end) in enumerate(zip(first[:-1], first[1:])):
                 if hashlib.sha256(_joined(texts[i])).hexdigest() != shas[i]:
                     continue  # another row with this id
-                take = [np.arange(s["s"], s["s"] + s["n"]) for s in spans[i]]
+                take = [np.arange(s >> 32, (s >> 32) + (s & 0xFFFFFFFF)) for s in spans[i]]
                 take = np.unique(np.concatenate(take)) if take else np.empty(0, np.int64)
                 take = take[take <= end - begin - self.width]
                 place.append(take + begin)
@@ -285,31 +280,31 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("key"), F.col(text_col).cast("string").alias("text")
     )
     parsed = materialize(base.mapInArrow(_Parser(width), _PARSED), "repeats-parsed")
-    light = parsed.select("key", "sha", "tag", "n_words")
-    classes = light.groupBy("sha").agg(F.min("key").alias("first_key"), F.min("tag").alias("tag"))
+    light = parsed.select("key", "sha", "n_words")
+    classes = light.groupBy("sha").agg(F.min("key").alias("first_key"))
 
-    # one row per symbol of a text; copies of a text have its tag
-    each = parsed.select("tag", F.explode(F.arrays_zip("symbols", "twice", "starts", "counts")).alias("s"))
-    each = each.select(
-        "tag", F.col("s.symbols").alias("symbol"), F.col("s.twice").alias("twice"), F.col("s.starts").alias("s"), F.col("s.counts").alias("n")
-    )
+    # one row per symbol of a text; where in the text is packed beside it
+    each = parsed.select("key", F.explode(F.arrays_zip("symbols", "twice", "starts", "counts")).alias("s"))
+    where = F.shiftleft(F.col("s.starts").cast("long"), 32) + F.col("s.counts")
+    each = each.select("key", F.col("s.symbols").alias("symbol"), F.col("s.twice").alias("twice"), where.alias("at"))
     shared = (
         each.groupBy("symbol")
-        .agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.max("twice").alias("twice"))
+        .agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("twice").alias("twice"))
         .where("lo <> hi or twice")
         .select("symbol")
     )
-    spans = each.join(shared, "symbol").groupBy("tag").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
-    to_see = classes.join(spans, "tag").select(F.col("first_key").alias("key"), "sha", "spans")
+    spans = each.select("symbol", "key", "at").join(shared, "symbol").groupBy("key").agg(F.collect_set("at").alias("spans"))
+    to_see = classes.select(F.col("first_key").alias("key"), "sha").join(spans, "key")
     zipped = base.mapInArrow(_zipped, "key long, z binary")
-    seen = zipped.join(to_see, "key").dropDuplicates(["key", "sha", "z"])
-    windows = seen.select("key", "z", "sha", "spans").mapInArrow(_Windows(width), _WINDOWS)
+    seen = zipped.join(to_see, "key").dropDuplicates(["key", "sha", "z"]).select("key", "z", "sha", "spans")
+    seen = materialize(seen, "repeats-seen")
+    windows = seen.mapInArrow(_Windows(width), _WINDOWS)
 
     place = F.struct("key", "start")
     first = F.min(place).over(Window.partitionBy("w1", "w2"))
     late = windows.select("*", (F.col("known") | (place > first)).alias("late")).where("late")
     cuts = late.groupBy("key", "tag").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
-    cut = zipped.join(cuts, "key").select("key", "z", "tag", "cuts").mapInArrow(
+    cut = seen.dropDuplicates(["key", "sha"]).join(cuts, "key").select("key", "z", "tag", "cuts").mapInArrow(
         _Cutter(width), "key long, sha string, n_removed long, kept_sha string, removed array<struct<from:int,to:int>>"
     )
     cut = cut.dropDuplicates(["key", "sha"])
