@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bitplanes, packing, quality, recompression, wordpieces
+from loomcast.llm import bitplanes, packing, quality, recompression, t_occurrence, wordpieces
 from loomcast.sources.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,34 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query(r"""
+with recursive base as (
+  select doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+sets as (
+  select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from base where len(ws) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as n
+  from sets a join sets b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (
+  select x, y from common c join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+  where 100 * c.n >= 90 * (a.n + b.n - c.n)),
+reach as (
+  select doc_id as node, doc_id as root from base
+  union
+  select l.y, r.root from reach r join links l on l.x = r.node)
+select b.doc_id, coalesce(s.n, 0)::bigint as n_shingles, r.component_id
+from (select distinct doc_id from base) b left join sizes s using (doc_id)
+join (select node, min(root) as component_id from reach group by node) r on r.node = b.doc_id
+""")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose word 3-shingles overlap to nine tenths."""
+    return t_occurrence.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match token counts of every document."""
