@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bitplanes, packing, quality, recompression, t_occurrence, wordpieces
+from loomcast.llm import bitplanes, latent_search, packing, quality, recompression, t_occurrence, wordpieces
 from loomcast.sources.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query()
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in any passage of any document."""
+    return latent_search.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as compressed byte planes and read back."""
