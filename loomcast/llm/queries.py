@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bitplanes, latent_search, packing, quality, recompression, t_occurrence, wordpieces
+from loomcast.llm import bitplanes, latent_search, packing, quality, recompression, t_occurrence, url_filter, wordpieces
 from loomcast.sources.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +158,23 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t_occurrence.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+# fixed values: rules of the query (host and path prefix, verdict)
+URL_RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+
+
+@query()
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, else by a regression that has learnt from URLs the rules decide."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.labelled_by_rules(pages.select("url"), URL_RULES), URL_RULES)
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match token counts of every document."""

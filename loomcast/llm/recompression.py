@@ -321,3 +321,43 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(copy, whole).otherwise(F.coalesce("removed", none)).alias("removed"),
         F.col("sha").alias("words_sha256"),
     )
+
+
+def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    """The text without word ranges; a removed word takes the blanks behind it along."""
+    _, starts, _, _, _ = T.words_and_hashes([text])
+    edges = np.concatenate((starts, [len(text)]))
+    out, at = [], 0
+    for a, b in sorted(ranges):
+        out.append(text[at : edges[a]])
+        at = edges[b]
+    return b"".join([*out, text[at:]])
+
+
+def _cut_job(text_at: int):
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in T.text_groups(batches, text_at):
+            cuts = rows.column(rows.num_columns - 1).to_pylist()
+            given = rows.column(text_at).to_pylist()
+            out = []
+            for old, text, entries in zip(given, texts, cuts):
+                sha = hashlib.sha256(_joined(text)).hexdigest() if entries else ""
+                ranges = next((e["removed"] for e in entries or [] if e["words_sha256"] == sha), None)
+                out.append(cut_words(text, [(r["from"], r["to"]) for r in ranges]).decode() if ranges else old)
+            columns = [pa.array(out, pa.string()) if i == text_at else rows.column(i) for i in range(rows.num_columns - 1)]
+            yield pa.record_batch(columns, rows.schema.names[:-1])
+
+    return job
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
+    """`docs`, all columns, with the repeated windows cut out of the texts."""
+    found = repeated_windows(docs, id_col, text_col, width).where("n_removed > 0")
+    cuts = found.groupBy(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("key")).agg(F.collect_set(F.struct("words_sha256", "removed")).alias("cuts"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names of the library's own, whatever the columns are called
+    rows = docs.toDF(*names)
+    key = F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(LEAST_ID))
+    joined = rows.join(cuts, key == F.col("key"), "left").select(*names, "cuts")
+    text_at = docs.columns.index(text_col)
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return joined.mapInArrow(_cut_job(text_at), schema).toDF(*docs.columns)
