@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bitplanes, latent_search, packing, quality, recompression, t_occurrence, url_filter, wordpieces
+from loomcast.llm import bitplanes, language_crf, latent_search, packing, quality, recompression, t_occurrence, url_filter, wordpieces
 from loomcast.sources.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held = language_crf.fold(F.col("doc_id"), 4) == 2
+    model = language_crf.train(docs.where(~held).select("text", "lang"))
+    found = language_crf.predict(docs, model)
+    return found.select("doc_id", (language_crf.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query(r"""
 with base as (
   select row_number() over () as rid, doc_id,
