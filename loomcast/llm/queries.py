@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bitplanes, language_crf, latent_search, packing, quality, recompression, t_occurrence, url_filter, wordpieces
+from loomcast.llm import bitplanes, hidden_markov, language_crf, latent_search, packing, quality, recompression, t_occurrence, url_filter, wordpieces
 from loomcast.sources.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query()
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden Markov log-probability of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return hidden_markov.language_model_scores(docs, language_crf.fold(F.col("doc_id"), 5) == 1)
+
+
 @query()
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in any passage of any document."""
