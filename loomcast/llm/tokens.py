@@ -9,17 +9,23 @@ library whole.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
+_KEPT = 1_200_000  # pieces kept in a worker; the table is emptied when it is full
 
-_KEPT = 600_000  # pieces kept in a worker; the table is emptied when it is full
+
+def regular(text: str) -> bool:
+    """Blanks and line ends only, one at a time, none at either end."""
+    words = text.split()
+    gaps = len(words) - 1
+    return sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps
 
 
 class PieceEncoder:
     """Text to ids as little-endian unsigned 32-bit bytes.
 
-    `spaced` vocabularies (byte-level) give a leading space to the word behind it and
+    `spaced` vocabularies (byte-level) give a leading blank to the word behind it and
     have tokens for line ends; the others drop blanks.
     """
 
@@ -30,40 +36,42 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
-        self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # words at the start of a line, and all words without spacing
+        self.tail: dict[str, bytes] = {}  # words behind a blank
+        self.line_end = self._encode(["\n"])[0] if spaced else b""
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces that the vocabulary never merges across; None if the cuts are not certain."""
-        if not self.spaced:
-            return [w for w in text.replace("\n", " ").split(" ") if w]
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            # single blanks only: between words, and a line end between full lines
-            if "" in words or any(w[0].isspace() or w[-1].isspace() for w in words):
-                return None
-            if i:
-                out.append("\n")
-            out.append(words[0])
-            out.extend([" " + w for w in words[1:]])
-        return out
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > _KEPT:
-            known.clear()
-        new = list(dict.fromkeys(p for ps in pieces if ps for p in ps if p not in known))
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        new = list(words.difference(known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            known.update(zip(part, self._encode(part)))
-        whole = [t for t, ps in zip(texts, pieces) if ps is None]
-        rest = iter(self._encode(whole))
-        return [next(rest) if ps is None else b"".join([known[p] for p in ps]) for ps in pieces]
+            known.update(zip(part, self._encode([lead + w for w in part] if lead else part)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.bare) + len(self.tail) > _KEPT:
+            self.bare.clear()
+            self.tail.clear()
+        return self._spaced(texts) if self.spaced else self._plain(texts)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        # other white space stays inside its piece and is left to the library
+        words = [t.split() if regular(t) else [w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
+        self._learn(self.bare, set().union(*words), "")
+        return [b"".join(map(self.bare.__getitem__, ws)) for ws in words]
+
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        lines = [[line.split(" ") for line in t.split("\n")] if t and regular(t) else None for t in texts]
+        self._learn(self.bare, {line[0] for ls in lines if ls for line in ls}, "")
+        self._learn(self.tail, set().union(*[line[1:] for ls in lines if ls for line in ls]), " ")
+        whole = iter(self._encode([t for t, ls in zip(texts, lines) if ls is None]))
+        bare, tail = self.bare, self.tail.__getitem__
+        return [
+            next(whole) if ls is None else self.line_end.join([bare[x[0]] + b"".join(map(tail, x[1:])) for x in ls])
+            for ls in lines
+        ]
 
 
 @lru_cache(maxsize=4)
