@@ -6,6 +6,8 @@ All frames are bounded row frames over one partitioning (series) and one order
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -106,12 +108,13 @@ def array_quantile(sorted_vals: Column, q: float) -> Column:
     return a + (b - a) * frac
 
 
-def ewm_mean(col: Column | str, alpha: float = 0.9, lag: int = 1, depth: int = 32, by="id") -> Column:
+def ewm_mean(col: Column | str, alpha: float = 0.9, lag: int = 1, by="id") -> Column:
     """Exponentially weighted mean of the values up to `lag` rows back.
 
-    The recursion s = alpha*x + (1-alpha)*s starts at the first value seen; with
-    alpha = 0.9 a history of 32 values already fixes every digit of a double.
+    The recursion s = alpha*x + (1-alpha)*s starts at the first value seen.  The history read is as long
+    as alpha asks for: what lies before it weighs less than 1e-32 and fixes no digit of a double.
     """
+    depth = 1 if alpha >= 1 else math.ceil(-32 * math.log(10) / math.log1p(-alpha))
     frame = series_window(by).rowsBetween(-(depth + lag - 1), -lag)
     vals = F.collect_list(as_col(col)).over(frame)
     start = F.try_element_at(vals, F.lit(1))

@@ -141,22 +141,23 @@ def per_series(fn: SeriesFn, h: int) -> Kernel:
     return kernel
 
 
+def guarded(kernel: Kernel, y: np.ndarray, n: np.ndarray, h: int) -> np.ndarray:
+    """A kernel's forecasts; a series that makes it raise, and only that one, gets its historic average."""
+    try:
+        return kernel(y, n)
+    except Exception:  # noqa: BLE001 - any model failure means fallback
+        if len(y) == 1:
+            return np.repeat(historic_average(y, n)[:, :, None], h, axis=2)
+        return np.concatenate([guarded(kernel, y[i : i + 1], n[i : i + 1], h) for i in range(len(y))])
+
+
 def forecast_arrays(
     panel: DataFrame, kernels: Mapping[str, Kernel], cv: CvConfig, folds: bool, live: bool
 ) -> DataFrame:
     h = cv.h
 
     def compute(y, n):
-        fallback = None
-        result = {}
-        for name, kernel in kernels.items():
-            try:
-                result[name] = kernel(y, n)
-            except Exception:  # noqa: BLE001 - a failing batch falls back as a whole
-                if fallback is None:
-                    fallback = np.repeat(historic_average(y, n)[:, :, None], h, axis=2)
-                result[name] = fallback
-        return result
+        return {name: guarded(kernel, y, n, h) for name, kernel in kernels.items()}
 
     lengths = fold_lengths(to_series(panel), cv, folds=folds, live=live)
     return map_folds(spread(lengths), {k: "array<double>" for k in kernels}, compute)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,12 @@ def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataF
     )
 
 
+def weeks(first: str, n: int, step: int = 1) -> str:
+    """Literal list of dates for SQL, every `step` weeks from the first: the calendar of the tables is fixed."""
+    start = date.fromisoformat(first)
+    return ", ".join(f"'{start + timedelta(weeks=i * step)}'" for i in range(n))
+
+
 def dates_of(df: DataFrame) -> list[str]:
     """ISO dates in a frame: one short value per week of the calendar."""
     rows = df.select(F.col("date").cast("string")).distinct().collect()
@@ -60,4 +67,4 @@ def first_id(df: DataFrame) -> str:
     return df.agg(F.min("id")).collect()[0][0]
 
 
-__all__ = ["C", "MIX", "Query", "cv_forecast", "dates_of", "first_id", "primary", "rounded", "thin", "with_mix"]
+__all__ = ["C", "MIX", "Query", "cv_forecast", "dates_of", "first_id", "primary", "rounded", "thin", "weeks", "with_mix"]

@@ -11,7 +11,7 @@ from loomcast.config import KEYS, PRED
 
 from loomcast.operators import cv as C
 from loomcast.operators import dashboard, joins, naive, panel, scores, submission
-from loomcast.plans.base import MIX, cv_forecast, dates_of, primary, rounded
+from loomcast.plans.base import MIX, cv_forecast, dates_of, primary, rounded, weeks
 from loomcast.plans.registry import query
 from loomcast.sources import panels, tables
 from loomcast.sources.lineage import materialize, scratch_path
@@ -178,8 +178,8 @@ def forecast_to_long(spark, sf_dir):
 
 
 @query(
-    """select * from (pivot (select Client, Warehouse, Product, cast(date as varchar) as date, sales
-         from panel where phase = 1) on date using first(sales) group by Client, Warehouse, Product)"""
+    f"""select * from (pivot (select Client, Warehouse, Product, cast(date as varchar) as date, sales
+         from panel where phase = 1) on date in ({weeks("2001-08-06", 13)}) using first(sales) group by Client, Warehouse, Product)"""
 )
 def pivot_dates(spark, sf_dir):
     """One column per ISO week (RS7)."""
@@ -356,11 +356,11 @@ def top_series(spark, sf_dir):
 
 
 @query(
-    """select * from (pivot (select cast(split_part(id, '-', 1) as bigint) as Client,
+    f"""select * from (pivot (select cast(split_part(id, '-', 1) as bigint) as Client,
            cast(split_part(id, '-', 2) as bigint) as Warehouse,
            cast(split_part(id, '-', 3) as bigint) as Product,
            cast(date as varchar) as date, prediction_SeasonalNaive as pred from livefc)
-         on date using first(pred) group by Client, Warehouse, Product)"""
+         on date in ({weeks("2001-11-05", 13)}) using first(pred) group by Client, Warehouse, Product)"""
 )
 def format_submission(spark, sf_dir):
     """One model's live forecast in the wide submission layout, checked."""

@@ -8,7 +8,7 @@ from loomcast.config import PRED
 from loomcast.functions import expr
 from loomcast.operators import cv as C
 from loomcast.operators import dashboard, naive, scale, scores
-from loomcast.plans.base import MIX, cv_forecast, primary, rounded, thin
+from loomcast.plans.base import MIX, cv_forecast, primary, rounded, thin, weeks
 from loomcast.plans.registry import query
 from loomcast.plans.sqltext import register
 
@@ -440,9 +440,9 @@ def score_by_scale(spark, sf_dir):
 
 
 @query(
-    """select * from (pivot (select model, cast(cutoff_date as varchar) as cutoff_date,
+    f"""select * from (pivot (select model, cast(cutoff_date as varchar) as cutoff_date,
          round(score, 6) + 0.0 as score from scored where id = '15-0-65')
-       on cutoff_date using first(score) group by model)"""
+       on cutoff_date in ({weeks("2000-10-16", 8, 6)}) using first(score) group by model)"""
 )
 def series_score_table(spark, sf_dir):
     """One series: score by model and fold (Q15)."""
