@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.llm import textkit as T
@@ -178,16 +178,37 @@ def divide_skip(lists: list[list[int]], t: int, n_long: int) -> dict[int, int]:
     return found
 
 
-def _search():
+def prefix_size(n: int, percent: int) -> int:
+    return min(n - need(n, percent) + MAX_T, n)
+
+
+def sure_common(n: int, m: int, percent: int) -> int:
+    """Prefix shingles that two sets of n and m shingles share if they link.
+
+    An overlap of o leaves n - o and m - o shingles outside it, so at least this many of
+    either prefix lie inside, and the prefixes follow one order.
+    """
+    o = -(-percent * (n + m) // (100 + percent))
+    return min(prefix_size(n, percent) - (n - o), prefix_size(m, percent) - (m - o))
+
+
+def _search(percent: int):
     """Grouped job: the lists of one query -> candidates that reach T occurrences."""
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        t = int(rows["t"].iloc[0])
-        by_token: dict[int, list[int]] = {}
-        for token, ids in zip(rows["token"], rows["ids"]):
-            by_token.setdefault(token, []).extend(int(i) for i in ids)
-        found = divide_skip([sorted(ids) for ids in by_token.values()], t, t - 1)
-        return pd.DataFrame({"a": [int(rows["a"].iloc[0])] * len(found), "b": list(found)}, dtype="int64")
+        q, n = int(rows["a"].iloc[0]), int(rows["n"].iloc[0])
+        # one search for each size of partner, as the sizes decide how many lists must agree
+        by_size: dict[int, dict[int, list[int]]] = {}
+        for token, ids, sizes in zip(rows["token"], rows["ids"], rows["sizes"]):
+            for i, m in zip(ids.tolist(), sizes.tolist()):
+                if 100 * min(m, n) >= percent * max(m, n):
+                    by_size.setdefault(m, {}).setdefault(token, []).append(i)
+        kept: list[int] = []
+        for m, lists in by_size.items():
+            t = max(1, sure_common(n, m, percent))
+            if len(lists) >= t:
+                kept += [d for d in divide_skip([sorted(ids) for ids in lists.values()], t, t - 1) if d != q]
+        return pd.DataFrame({"a": [q] * len(kept), "b": kept}, dtype="int64")
 
     return search
 
@@ -219,12 +240,6 @@ def _checked(pairs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").mapInArrow(_Check(percent), "a long, b long")
 
 
-def _t(n: Column, percent: int) -> Column:
-    """Common prefix shingles that are sure with any partner, the smallest one included."""
-    least = F.floor((percent * F.floor((percent * n + 99) / 100) + 99) / 100)
-    return F.greatest(F.lit(1), F.least(F.lit(MAX_T), least)).cast("int")
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links)."""
     spark = docs.sparkSession
@@ -262,15 +277,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialize(_checked(materialize(stars, "stars"), base, k, percent), "star-links")
     so_far = components(links)
 
-    # lists with several components are searched; a query lies outside the list's first component
-    member = shared.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    member = member.withColumns({"lo": F.min("component").over(by_token), "hi": F.max("component").over(by_token)}).where("lo <> hi")
-    member = materialize(member.select("token", "rep", "n", "component", "lo"), "open-lists")
+    # lists with several components are searched; of two components the smaller one asks, in all lists they share
+    of = materialize(so_far.union(so_far.select("component", "component")).distinct(), "components")
+    sized = of.withColumn("members", F.count("*").over(Window.partitionBy("component")))
+    member = shared.join(sized, F.col("rep") == F.col("node"), "left").select(
+        "token",
+        "rep",
+        "n",
+        F.coalesce("component", "rep").alias("component"),
+        F.struct((-F.coalesce("members", F.lit(1))).alias("rank"), F.coalesce("component", "rep").alias("c")).alias("place"),
+    )
+    member = member.withColumns({"top": F.min("place").over(by_token), "low": F.max("place").over(by_token)}).where("top <> low")
+    member = materialize(member.select("token", "rep", "n", (F.col("place") != F.col("top")).alias("asks")), "open-lists")
     ranked = member.withColumn("block", F.floor(F.row_number().over(by_token.orderBy("rep")) / BLOCK))
-    blocks = ranked.groupBy("token", "block").agg(F.collect_list("rep").alias("ids"))
-    asked = member.where("component <> lo").select("token", F.col("rep").alias("a"), _t(F.col("n"), percent).alias("t"))
-    found = asked.join(blocks, "token").groupBy("a").applyInPandas(_search(), "a long, b long")
-    of = so_far.union(so_far.select(F.col("component"), F.col("component"))).distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("rep", "n")))
+    blocks = ranked.groupBy("token", "block").agg(ordered.alias("list")).select("token", "block", F.col("list.rep").alias("ids"), F.col("list.n").alias("sizes"))
+    asked = member.where("asks").select("token", F.col("rep").alias("a"), "n")
+    found = asked.join(blocks, "token").groupBy("a").applyInPandas(_search(percent), "a long, b long")
     a, b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_pairs = (
         found.where("a <> b")
