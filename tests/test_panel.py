@@ -188,3 +188,20 @@ def test_shared_folder_comes_from_the_session():
     )
     with pytest.raises(ValueError, match="shared folder"):
         shared_dir(cluster)
+
+
+def test_thin_panel_reads_every_supplier(spark, tmp_path):
+    from loomcast.sources import panels
+
+    day = dt.date(1996, 1, 1)
+    lines = [(s, 40 * s + p, day + dt.timedelta(weeks=w), 2.0, 10.0) for s in range(1, 26) for p in (1, 2) for w in (0, 3)]
+    spark.createDataFrame(
+        lines, "l_suppkey long, l_partkey long, l_shipdate date, l_quantity double, l_extendedprice double"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(s, s % 5) for s in range(1, 26)], "s_suppkey long, s_nationkey int").write.parquet(
+        str(tmp_path / "supplier.parquet")
+    )
+    got = panels.sparse_panel(spark, str(tmp_path))
+    series = {tuple(r) for r in got.select("Warehouse", "Product").distinct().collect()}
+    assert series == {(s, p) for s in range(1, 26) for p in (1, 2)}
+    assert got.count() == 50 * 4
