@@ -8,7 +8,9 @@ recursion; a text gets the language with the largest sum of posteriors over its
 letter, and as score their share.
 
 The field is fitted on a bounded sample of labelled lines, `SAMPLE` of them, by stochastic gradient
-steps in one task; prediction covers whole texts.
+steps in one task; prediction covers whole texts.  Lines of over `LONGEST` words are cut into runs of that
+many, equal lines of a language count once, and every language has a share of the sample: rare ones
+give all their lines, the others share the rest equally.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows
 without a language are not learned from; without any labelled row every text is
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.llm import chains
@@ -32,7 +34,7 @@ from loomcast.llm import textkit as T
 from loomcast.sources.shipping import ship_package
 
 SAMPLE = 8000  # labelled lines that the field is fitted on
-LONGEST = 200  # words in such a line
+LONGEST = 200  # words in such a line; longer ones are cut
 BUCKETS = 1 << 16
 EPOCHS = 3
 _KEPT = 400_000  # words whose scores are kept in a worker
@@ -130,14 +132,51 @@ def _fit(rows: pa.Table) -> pa.Table:
     return pa.table({"model": pa.array([field.dump()], pa.binary())})
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> bytes | None:
-    """Field fitted on at most `sample` lines of the labelled rows, least hashes first."""
-    ship_package(labelled.sparkSession)
+def labelled_lines(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """`label, line, h`: the lettered lines, long ones in runs of `LONGEST` words, and their hashes."""
     lines = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("label"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")
     )
-    lines = lines.where(F.col("line").rlike(r"\p{L}") & (F.size(F.split("line", " ")) <= LONGEST))
-    chosen = lines.orderBy(F.xxhash64("line", "label"), "line", "label").limit(sample)
+    words = F.filter(F.split("line", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("words") - 1) / LONGEST).cast("int")),
+        lambda i: F.array_join(F.slice("words", i * LONGEST + 1, LONGEST), " "),
+    )
+    lines = lines.where(F.col("line").rlike(r"\p{L}")).select("label", words.alias("words"))
+    lines = lines.select("label", F.explode(runs).alias("line")).where(F.col("line").rlike(r"\p{L}"))
+    return lines.withColumn("h", F.xxhash64("line", "label"))
+
+
+def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Lines of each label: rare labels give all, the rest of the sample is shared equally; one line at least."""
+    out, room = {}, sample
+    for i, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = max(1, min(n, room // (len(counts) - i)))
+        room = max(0, room - out[label])
+    return out
+
+
+def chosen_lines(lines: DataFrame, sample: int) -> DataFrame:
+    """`label, line`: the share of each label, least hashes first, equal lines once.
+
+    Estimated counts bound the hashes first, so that only about the sample is shuffled.
+    """
+    counts = {r["label"]: r["n"] for r in lines.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    # a tenth more than counted: the estimate may be low
+    quota = shares({k: n + n // 10 + 10 for k, n in counts.items()}, sample)
+    bounds = [
+        (k, q, min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, 1.5 * (q + 10) / max(counts[k], 1))))) for k, q in quota.items()
+    ]
+    limits = lines.sparkSession.createDataFrame(bounds, "label string, quota long, top long")
+    kept = lines.join(limits, "label").where(F.col("h") <= F.col("top")).groupBy("label", "line", "h", "quota").agg(F.lit(1).alias("one"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "line"))
+    return kept.withColumn("place", place).where(F.col("place") <= F.col("quota")).select("label", "line")
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> bytes | None:
+    """Field fitted on about `sample` different lines of the labelled rows, with lines of every label."""
+    ship_package(labelled.sparkSession)
+    chosen = chosen_lines(labelled_lines(labelled, text_col, lang_col), sample)
     model = chosen.groupBy(F.lit(1).alias("one")).applyInArrow(_fit, "model binary").collect()
     return bytes(model[0]["model"]) if model else None
 

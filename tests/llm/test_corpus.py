@@ -142,6 +142,24 @@ def test_language_field_follows_switches(spark):
     assert language_crf.predict(df.limit(0), model).isEmpty()
 
 
+def test_language_sample_has_long_lines_rare_labels_and_no_copies(spark):
+    rng = random.Random(2)
+    text = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n))
+    aa, bb = ["der", "ung", "keit", "das"], ["la", "cion", "que", "los"]
+    data = [(text(aa, 450), "aa"), (text(bb, 201) + "\n" + text(bb, 5), "bb"), ("12 " * 300 + "ja", "aa")]
+    data += [("same line again", "cc")] * 500 + [(text(["ion", "ed", "th"], 8), "cc") for _ in range(300)]
+    df = spark.createDataFrame(data, "text string, lang string").repartition(5)
+    lines = language_crf.labelled_lines(df)
+    got = sorted((r["label"], len(r["line"].split())) for r in lines.where("label <> 'cc'").collect())
+    assert got == [("aa", 50), ("aa", 101), ("aa", 200), ("aa", 200), ("bb", 1), ("bb", 5), ("bb", 200)]
+    rows = [tuple(r) for r in language_crf.chosen_lines(lines, 60).collect()]
+    assert len(rows) == len(set(rows)) <= 60
+    assert Counter(k for k, _ in rows)["aa"] == 4 and Counter(k for k, _ in rows)["bb"] == 3 and Counter(k for k, _ in rows)["cc"] >= 20
+    model = language_crf.train(df.where(F.length("text") > 1000), sample=60)
+    assert set(language_crf.Field.load(model).labels) == {"aa", "bb"}
+    assert language_crf.shares({"a": 1, "b": 9000, "c": 500}, 3000) == {"a": 1, "c": 500, "b": 2499}
+
+
 # -- 3
 
 
