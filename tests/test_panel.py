@@ -183,11 +183,11 @@ def test_shared_folder_comes_from_the_session():
 
     named = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://shared/cp"})
     assert shared_dir(named) == "hdfs://shared/cp"
-    cluster = SimpleNamespace(
-        conf={}, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    unset = SimpleNamespace(
+        conf={"spark.sql.warehouse.dir": "hdfs://shared/warehouse/"},
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None),
     )
-    with pytest.raises(ValueError, match="shared folder"):
-        shared_dir(cluster)
+    assert shared_dir(unset) == "hdfs://shared/warehouse/_lineage"
 
 
 def test_thin_panel_reads_every_supplier(spark, tmp_path):
