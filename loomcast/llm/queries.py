@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bitplanes, hidden_markov, language_crf, latent_search, packing, quality, recompression, t_occurrence, url_filter, wordpieces
+from loomcast.llm import bitplanes, hard_negatives, hidden_markov, language_crf, latent_search, packing, quality, recompression, secret_scan, t_occurrence, url_filter, wordpieces
 from loomcast.sources.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,3 +202,48 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("""
+with base as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+rows as (select *, row_number() over () as r from (select distinct id, label, v from base)),
+scored as (
+  select a.r as a, a.id as anchor_id, b.id, b.r, a.label = b.label as same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint as score
+  from rows a join rows b on a.r <> b.r and len(a.v) = len(b.v) where a.id % 100 = 0),
+positive as (
+  select * from (select *, row_number() over (partition by a order by score desc, id, r) as k from scored where same) where k <= 5),
+ranked as (
+  select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score, p.k,
+         row_number() over (partition by p.a, p.k order by n.score desc, n.id, n.r) as rank
+  from positive p join scored n on n.a = p.a and not n.same
+  where 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score, k::int as positive_rank
+from ranked where rank <= 10
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the patterns' hits, and runs that the Markov models call random."""
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind, of="base": secret_scan.counted(F.col(of), kind).alias(f"n_{kind}")
+    return out.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secret_scan.shown(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.shown(F.col("spans")).alias("spans"),
+        count("markov", "spans"),
+    )
