@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bitplanes, hard_negatives, hidden_markov, language_crf, latent_search, packing, quality, recompression, secret_scan, t_occurrence, url_filter, wordpieces
+from loomcast.llm import bitplanes, hard_negatives, hidden_markov, language_crf, latent_search, packing, quality, recompression, secret_scan, spelling_variants, t_occurrence, url_filter, wordpieces
 from loomcast.sources.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +204,59 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query(r"""
+with recursive step0 as (select unnest(range(0, 256))::bigint as i, unnest(range(0, 256))::bigint as c, 0 as k),
+steps as (
+  select * from step0
+  union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8),
+lookup as (select list(c order by i) as t from steps where k = 8),
+runs as (
+  select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) as r from documents)),
+hexed as (
+  select doc_id, r, n, hex(encode(concat(doc_id, ':', r))) as x
+  from (select doc_id, r, count(*) as n from runs group by doc_id, r)),
+hashed as (
+  select r, n, xor(list_reduce(
+           list_prepend(4294967295::bigint, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i::int + 1, 2))::bigint)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h
+  from hexed, lookup),
+words as (
+  select case when h % 31 = 0 then concat(substr(r, 1, (h % length(r))::int), substr(r, (h % length(r))::int + 2)) else r end as word, n
+  from hashed),
+vocabulary as (select word, sum(n)::bigint as n from words where length(word) >= 7 group by word having sum(n) >= 2),
+holes as (
+  select word, n, length(word) as size, i, concat(substr(word, 1, i::int - 1), substr(word, i::int + 1)) as rest
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from vocabulary)),
+near as (
+  select distinct a.word, b.word as other, b.n as m from holes a join holes b on a.rest = b.rest and a.i = b.i and a.size = b.size and a.word <> b.word
+  union
+  select a.word, b.word, b.n from holes a join vocabulary b on b.word = a.rest
+  union
+  select b.word, a.word, a.n from holes a join vocabulary b on b.word = a.rest),
+best as (
+  select word, count(*) over (partition by word) as n_near, other, m,
+         row_number() over (partition by word order by m desc, encode(other)) as k from near),
+formed as (
+  select v.word, v.n, case when m >= 10 * v.n then other end as form, coalesce(n_near, 0) as n_near, case when m >= 10 * v.n then m end as form_n
+  from vocabulary v left join best b on b.word = v.word and b.k = 1),
+chain as (
+  select word, word as at, 0 as k from formed
+  union all
+  select c.word, f.form, k + 1 from chain c join formed f on f.word = c.at where f.form is not null)
+select f.word, n, form, arg_max(c.at, c.k) as root, n_near, form_n
+from formed f join chain c on c.word = f.word group by f.word, n, form, n_near, form_n
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants among the words of all documents; one run in 31, by a hash, loses a letter first."""
+    found = spelling_variants.runs(table(spark, sf_dir, "documents"), 7)
+    h = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run").cast("binary"))
+    found = found.withColumn("h", h)
+    word = F.when(F.col("h") % 31 == 0, spelling_variants.without_letter(F.col("run"), F.col("h") % F.length("run"))).otherwise(F.col("run"))
+    return spelling_variants.group_variants(spelling_variants.counted(found.select(word.alias("word")), 7, 2))
+
+
 @query("""
 with base as (
   select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
