@@ -101,8 +101,8 @@ def _with_keys(low: int, high: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of consecutive rows of one label and dimension; equal neighbours once."""
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most `most` consecutive rows of one label and dimension; equal neighbours once."""
     context = TaskContext.get()
     group, number, last = context.partitionId() if context else 0, 0, None
     kept: list[tuple] = []
@@ -126,7 +126,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = (labels[i], int(z - a), ids[i], values[a:z])
             if last is not None and row[:3] == last[:3] and np.array_equal(row[3], last[3]):
                 continue
-            if kept and (len(kept) == BLOCK or row[:2] != kept[0][:2]):
+            if kept and (len(kept) == most or row[:2] != kept[0][:2]):
                 yield block()
             kept.append(row)
             last = row
@@ -134,13 +134,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def write_blocks(rows: DataFrame) -> DataFrame:
+def write_blocks(rows: DataFrame, most: int = BLOCK, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Blocks of the rows of `prepare`, written and read back."""
     span = rows.agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi")).first()
-    parts = max(1, -(-span["n"] // GROUP_ROWS), min(-(-span["n"] // 8192), 128))
+    parts = max(1, -(-span["n"] // group_rows), min(-(-span["n"] // 8192), 128))
     keyed = rows.mapInArrow(_with_keys(span["lo"] or 0, span["hi"] or 0), "vec_id long, label long, v array<long>, dim int, key binary")
     order = ["label", "dim", "key", "vec_id", "v"]
-    return materialize(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_cut, _BLOCKS), "hilbert-blocks")
+    return materialize(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda rows: _cut(rows, most), _BLOCKS), "hilbert-blocks")
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -307,6 +307,8 @@ def mine(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     label_col: str = "label",
+    block_rows: int = BLOCK,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """For each anchor (`is_anchor`, of vec_id) and each of its first positives, the first negatives in the window.
 
@@ -314,7 +316,7 @@ def mine(
     """
     ship_package(rows.sparkSession)
     usable = prepare(rows, id_col, vec_col, label_col)
-    blocks = write_blocks(usable)
+    blocks = write_blocks(usable, block_rows, group_rows)
     anchors = usable.where(is_anchor).dropDuplicates(["vec_id", "label", "v"])
     anchors = materialize(anchors.select(F.col("vec_id").alias("a_id"), F.xxhash64("label", "v").alias("a_sig"), "label", "v"), "anchors")
     slots = max(1, -(-anchors.count() // SLOT))
