@@ -6,8 +6,9 @@ patterns' hits is a secret if the log-likelihood ratio of the two models favours
 Everything is DataFrame expressions.  Work on a text stays in its row; what is shuffled
 is counts of character pairs, summed before the exchange, so no hot source matters.
 
-Labelled samples: hits of the patterns, and one digest of each text in base 64, are
-random; runs of token characters without a digit outside those hits are ordinary.
+Labelled samples: values of assignments, access keys, and one digest of each text in base 64, are
+random (hits of the hex pattern are not: long numbers and filler are among them); runs of
+token characters without a digit outside the hits are ordinary.
 
 Defined cases: a null or empty text has no span; positions are code points, ends are
 exclusive; equal rows give equal results; very long texts are scanned whole; an empty
@@ -35,6 +36,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 RUN = r"[A-Za-z0-9+/_=-]"
 FIRST, SYMBOLS = ord("+"), ord("z") - ord("+") + 1  # codes of the characters of runs
+PRIOR = 8.0  # weight of the symbol's own share beside the counts that follow a symbol
 BLOCK = 256  # hits whose places are summed together
 
 
@@ -101,11 +103,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
 
 def labelled_samples(found: DataFrame) -> DataFrame:
-    """(text, label): random strings and ordinary identifiers of the rows of `find`."""
-    random = F.concat(F.transform("base", lambda b: b["v"]), F.filter(F.array("digest"), lambda d: d.isNotNull()))
+    """(text, label): random strings and ordinary identifiers of the rows of `find`, each once however often it is copied."""
+    random = F.concat(F.transform(F.filter("base", lambda b: b["k"] < 2), lambda b: b["v"]), F.filter(F.array("digest"), lambda d: d.isNotNull()))
     plain = F.filter(F.transform("runs", lambda r: r["v"]), lambda v: ~v.rlike("[0-9]"))
     tagged = lambda xs, label: F.transform(xs, lambda v: F.struct(v.alias("text"), F.lit(label).alias("label")))
-    return found.select(F.inline(F.concat(tagged(random, "random"), tagged(plain, "ordinary"))))
+    return found.select(F.inline(F.concat(tagged(random, "random"), tagged(plain, "ordinary")))).distinct()
 
 
 def symbols(text: Column) -> Column:
@@ -122,12 +124,12 @@ def train(samples: DataFrame) -> list[float]:
     seen = {kind: [0] * width * width for kind in ("random", "ordinary")}
     for r in moves.groupBy("label", "move").count().where("label in ('random', 'ordinary')").collect():  # at most a row per pair of symbols
         seen[r["label"]][r["move"]] = r["count"]
+    least = {k: [(sum(v[b::width]) + 0.5) / (sum(v) + 0.5 * width) for b in range(width)] for k, v in seen.items()}
+    p = lambda kind, a, b, n: (seen[kind][a * width + b] + PRIOR * least[kind][b]) / (n + PRIOR)
     out = []
     for a in range(width):
         n = {k: sum(v[a * width : (a + 1) * width]) for k, v in seen.items()}
-        for b in range(width):
-            p, q = ((seen[k][a * width + b] + 0.5) / (n[k] + 0.5 * width) for k in ("random", "ordinary"))
-            out.append(math.log(p / q))
+        out += [math.log(p("random", a, b, n["random"]) / p("ordinary", a, b, n["ordinary"])) for b in range(width)]
     return out
 
 

@@ -97,7 +97,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first_end = ~bit(1) | (F.substring("a.word", 1, END) != F.substring("b.word", 1, END))
     close = (F.col("a.word") < F.col("b.word")) & (F.abs(F.length("a.word") - F.length("b.word")) <= 1)
     near = F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & close & first_key & first_end & near)
+    # `mark` follows from the key; asked for on both sides, it lets them share one exchange
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.mark") == F.col("b.mark"))
+    joined = a.join(b, same & close & first_key & first_end & near)
     return joined.select(F.col("a.word").alias("a"), F.col("a.n").alias("n_a"), F.col("b.word").alias("b"), F.col("b.n").alias("n_b"))
 
 
