@@ -8,7 +8,7 @@ is counts of character pairs, summed before the exchange, so no hot source matte
 
 Labelled samples: values of assignments, access keys, and one digest of each text in base 64, are
 random (hits of the hex pattern are not: long numbers and filler are among them); runs of
-token characters without a digit outside the hits are ordinary.
+token characters outside the hits, without a digit or a small letter between two capitals, are ordinary.
 
 Defined cases: a null or empty text has no span; positions are code points, ends are
 exclusive; equal rows give equal results; very long texts are scanned whole; an empty
@@ -105,7 +105,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 def labelled_samples(found: DataFrame) -> DataFrame:
     """(text, label): random strings and ordinary identifiers of the rows of `find`, each once however often it is copied."""
     random = F.concat(F.transform(F.filter("base", lambda b: b["k"] < 2), lambda b: b["v"]), F.filter(F.array("digest"), lambda d: d.isNotNull()))
-    plain = F.filter(F.transform("runs", lambda r: r["v"]), lambda v: ~v.rlike("[0-9]"))
+    plain = F.filter(F.transform("runs", lambda r: r["v"]), lambda v: ~v.rlike("[0-9]|[A-Z][a-z][A-Z]"))
     tagged = lambda xs, label: F.transform(xs, lambda v: F.struct(v.alias("text"), F.lit(label).alias("label")))
     return found.select(F.inline(F.concat(tagged(random, "random"), tagged(plain, "ordinary")))).distinct()
 
