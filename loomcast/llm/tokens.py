@@ -2,8 +2,8 @@
 
 A byte-level or word-end BPE never merges across certain cuts, so a text's ids are
 the ids of its pieces.  Pieces recur, the library's answer for each is kept in the
-worker, in a table of bounded size.  Texts whose cuts are not certain go to the
-library whole.
+worker, in a table of bounded size.  Texts whose cuts are not certain, and texts that may
+hold the string of an added token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        shared = os.path.commonprefix(added)
+        self.marks = [shared] if shared else added  # no added token lies in a text without a mark
         self.spaced = spaced
         self.bare: dict[str, bytes] = {}  # words at the start of a line, and all words without spacing
         self.tail: dict[str, bytes] = {}  # words behind a blank
@@ -56,14 +58,19 @@ class PieceEncoder:
             self.tail.clear()
         return self._spaced(texts) if self.spaced else self._plain(texts)
 
+    def _marked(self, text: str) -> bool:
+        return any(m in text for m in self.marks)
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         # other white space stays inside its piece and is left to the library
-        words = [t.split() if regular(t) else [w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-        self._learn(self.bare, set().union(*words), "")
-        return [b"".join(map(self.bare.__getitem__, ws)) for ws in words]
+        cut = lambda t: t.split() if regular(t) else [w for w in t.replace("\n", " ").split(" ") if w]
+        words = [None if self._marked(t) else cut(t) for t in texts]
+        self._learn(self.bare, set().union(*filter(None, words)), "")
+        whole = iter(self._encode([t for t, ws in zip(texts, words) if ws is None]))
+        return [next(whole) if ws is None else b"".join(map(self.bare.__getitem__, ws)) for ws in words]
 
     def _spaced(self, texts: list[str]) -> list[bytes]:
-        lines = [[line.split(" ") for line in t.split("\n")] if t and regular(t) else None for t in texts]
+        lines = [[line.split(" ") for line in t.split("\n")] if t and regular(t) and not self._marked(t) else None for t in texts]
         self._learn(self.bare, {line[0] for ls in lines if ls for line in ls}, "")
         self._learn(self.tail, set().union(*[line[1:] for ls in lines if ls for line in ls]), " ")
         whole = iter(self._encode([t for t, ls in zip(texts, lines) if ls is None]))
