@@ -187,20 +187,18 @@ def pivot_dates(spark, sf_dir):
 
 
 @query(
-    """select model,
-         avg(score) filter (cutoff_date = date '2001-08-06') as c1,
-         avg(score) filter (cutoff_date = date '2001-06-25') as c2 from toterr group by 1""",
-    "c1 c2",
+    "select model, " + ", ".join(f"avg(score) filter (k = {k}) as c{k}" for k in range(1, 9))
+    + " from (select *, dense_rank() over (order by cutoff_date desc) as k from toterr) group by 1",
+    " ".join(f"c{k}" for k in range(1, 9)),
 )
 def pivot_mean_score(spark, sf_dir):
-    """Mean score pivoted over a column's values (RS8)."""
+    """Mean score pivoted over the folds, newest first (RS8)."""
     prim = primary(spark, sf_dir)
-    report = scores.total_errors(scores.calc_errors(cv_forecast(prim), prim))
-    wide = panel.pivot_mean(
-        report.withColumn("cutoff_date", F.col("cutoff_date").cast("string")),
-        "model", "cutoff_date", "score", ["2001-08-06", "2001-06-25"],
-    )
-    return rounded(wide.toDF("model", "c1", "c2"))
+    report = materialize(scores.total_errors(scores.calc_errors(cv_forecast(prim), prim)), "report")
+    folds = [str(d) for d in reversed(C.cutoff_list(report))]
+    report = report.withColumn("cutoff_date", F.col("cutoff_date").cast("string"))
+    wide = panel.pivot_mean(report, "model", "cutoff_date", "score", folds)
+    return rounded(wide.toDF("model", *[f"c{k}" for k in range(1, len(folds) + 1)]))
 
 
 @query(
@@ -278,16 +276,16 @@ def left_join_sales(spark, sf_dir):
 
 
 @query(
-    """select p.id, p.date, p.sales from prim p where p.date > date '2001-07-30'
+    """select p.id, p.date, p.sales from prim p where p.date > (select max(date) - 91 from prim)
          and p.id in (select id from train where fold = 7)"""
 )
 def semi_join_train_ids(spark, sf_dir):
-    """Rows of the series that already existed in the oldest fold."""
-    prim = primary(spark, sf_dir)
+    """Last quarter of the series that already existed in the oldest fold."""
+    prim = materialize(primary(spark, sf_dir), "panel")
     ids = C.rolling_origin(prim.select("id", "date"), n_windows=8, step=6).filter(
         (F.col("fold") == 7) & ~F.col("is_test")
     )
-    late = prim.filter(F.col("date") > F.lit("2001-07-30").cast("date"))
+    late = prim.filter(F.col("date") > F.date_sub(prim.agg(F.max("date")).scalar(), 91))
     return dashboard.rows_of(late.select("id", "date", "sales"), ids.select("id").distinct())
 
 

@@ -519,11 +519,12 @@ def class_share(spark, sf_dir):
     return dashboard.share(live_classes(spark, sf_dir), "class")
 
 
+_ALL_CLASSES = [*classes.CLASSES, "regular"]
+
+
 def _class_errors(spark, sf_dir):
     prim = materialize(primary(spark, sf_dir), "panel")
     cls = classes.classify_panel(prim)
-    # series of one fold are left without a class on purpose: they report under null
-    cls = cls.filter(F.col("cutoff_date") != F.lit("2001-08-06").cast("date"))
     return scores.class_errors(scores.calc_errors(cv_forecast(prim), prim), cls)
 
 
@@ -531,25 +532,24 @@ register(
     clserr="""
   select e.cutoff_date, c.class, e.model, avg(abs(error)) as mae, avg(error) as bias,
          avg(abs(error)) + abs(avg(error)) as score
-  from errors e left join (select * from clsf where cutoff_date <> date '2001-08-06') c
+  from errors e left join clsf c
     on c.id = e.id and c.cutoff_date = e.cutoff_date group by 1, 2, 3"""
 )
 
 
 @query("select * from clserr", "mae bias score")
 def class_error_report(spark, sf_dir):
-    """Errors per fold, class and model; no class reports under null."""
+    """Errors per fold, class and model (M10); a series without a class would report under null."""
     return rounded(_class_errors(spark, sf_dir))
 
 
 @query(
-    """select model, avg(score) filter (class = 'regular') as regular,
-              avg(score) filter (class = 'sparse') as sparse from clserr group by 1""",
-    "regular sparse",
+    "select model, " + ", ".join(f"avg(score) filter (class = '{c}') as {c}" for c in _ALL_CLASSES) + " from clserr group by 1",
+    " ".join(_ALL_CLASSES),
 )
 def class_model_table(spark, sf_dir):
     """Mean score by model and class (Q7, RS8)."""
-    return rounded(dashboard.class_model_table(_class_errors(spark, sf_dir), ["regular", "sparse"]))
+    return rounded(dashboard.class_model_table(_class_errors(spark, sf_dir), _ALL_CLASSES))
 
 
 @query(

@@ -11,6 +11,7 @@ from loomcast.operators import dashboard, naive, scale, scores
 from loomcast.plans.base import MIX, cv_forecast, primary, rounded, thin, weeks
 from loomcast.plans.registry import query
 from loomcast.plans.sqltext import register
+from loomcast.sources.lineage import materialize
 
 # ---- splits ---------------------------------------------------------------------------
 
@@ -149,26 +150,24 @@ for _name, (_alias, _f, _text) in _PARTS.items():
 
 register(
     sfc="""
-  select s.id, p.date, p.sales, case when c.n >= 52 then y.sales else 0 end as pred from
-    (select b.id, b.mx from (select id, max(date) mx, min(date) mn from sprim group by 1) b where mn <= mx - 91) s
-    join sprim p on p.id = s.id and p.date > s.mx - 91
-    join (select id, count(*) as n from (select p.id from sprim p join
-            (select id, max(date) mx from sprim group by 1) m on p.id = m.id and p.date <= mx - 91)
-          group by 1) c on c.id = s.id
+  select s.id, s.cutoff_date, p.date, p.sales, case when s.n >= 52 then y.sales else 0 end as pred from (
+      select id, cast(mx - 7 * (f * 6 + 12) as date) as cutoff_date, (mx - mn) // 7 + 1 - (f * 6 + 13) as n from
+        (select id, max(date) as mx, min(date) as mn from sprim group by 1),
+        (select cast(unnest(range(0, 8)) as integer) as f)) s
+    join sprim p on s.n > 0 and p.id = s.id and p.date >= s.cutoff_date and p.date < s.cutoff_date + 91
     left join sprim y on y.id = s.id and y.date = p.date - 364""",
 )
 
 
 def _thin_forecast(spark, sf_dir):
-    prim = thin(spark, sf_dir)
-    one = C.CvConfig(n_windows=1)
-    return naive.cross_validate(prim, one), prim
+    prim = materialize(thin(spark, sf_dir), "panel")
+    return naive.cross_validate(prim), prim
 
 
 @query(
-    """select id, case when b = 0 then 0.0 else a / b end as loss from (
-         select id, abs(sum(pred - sales)) + sum(abs(pred - sales)) as a, sum(abs(sales)) as b
-         from sfc group by 1)""",
+    """select id, cutoff_date, case when b = 0 then 0.0 else a / b end as loss from (
+         select id, cutoff_date, abs(sum(pred - sales)) + sum(abs(pred - sales)) as a, sum(abs(sales)) as b
+         from sfc group by 1, 2)""",
     "loss",
 )
 def competition_loss(spark, sf_dir):
@@ -176,7 +175,7 @@ def competition_loss(spark, sf_dir):
     fc, prim = _thin_forecast(spark, sf_dir)
     joined = scores.with_sales(fc, prim)
     return rounded(
-        joined.groupBy("id").agg(expr.competition_loss(PRED + "SeasonalNaive", "sales").alias("loss"))
+        joined.groupBy("id", "cutoff_date").agg(expr.competition_loss(PRED + "SeasonalNaive", "sales").alias("loss"))
     )
 
 
@@ -204,10 +203,10 @@ def total_scores(spark, sf_dir):
 
 
 @query(
-    """select id, case when b = 0 and a = 0 then 'nan'::double
+    """select id, cutoff_date, case when b = 0 and a = 0 then 'nan'::double
                   when b = 0 then 1.0 else least(a / b, 1) end as score from (
-         select id, abs(sum(pred - sales)) + sum(abs(pred - sales)) as a, sum(abs(sales)) as b
-         from sfc group by 1)""",
+         select id, cutoff_date, abs(sum(pred - sales)) + sum(abs(pred - sales)) as a, sum(abs(sales)) as b
+         from sfc group by 1, 2)""",
     "score",
 )
 def clipped_series_scores(spark, sf_dir):
@@ -215,7 +214,7 @@ def clipped_series_scores(spark, sf_dir):
     fc, prim = _thin_forecast(spark, sf_dir)
     clipped = scores.clipped_scores(fc.select("id", "date", "cutoff_date", PRED + "SeasonalNaive"), prim)
     x = F.col(PRED + "SeasonalNaive")
-    return clipped.select("id", F.when(F.isnan(x), x).otherwise(F.round(x, 6)).alias("score"))
+    return clipped.select("id", "cutoff_date", F.when(F.isnan(x), x).otherwise(F.round(x, 6)).alias("score"))
 
 
 @query("select * from errors", "prediction error")
@@ -313,15 +312,15 @@ def sales_rollup_all(spark, sf_dir):
 @query(
     """select Client, Warehouse, Product, date,
          cast(grouping_id(Client, Warehouse, Product) as integer) as level,
-         sum(sales) as sales, avg(ff) is not null as priced from filled
+         sum(sales) as sales, avg(ff) as price from filled
        group by grouping sets ((Client, Warehouse, Product, date), (Client, Warehouse, date),
          (Client, Product, date), (Warehouse, Product, date), (Client, date), (Warehouse, date),
-         (Product, date), (date))"""
+         (Product, date), (date))""",
+    "price",
 )
 def sales_cube(spark, sf_dir):
     """All eight rollups in one aggregate (Q1)."""
-    cube = dashboard.sales_cube(primary(spark, sf_dir))
-    return cube.withColumn("priced", F.col("price").isNotNull()).drop("price")
+    return rounded(dashboard.sales_cube(primary(spark, sf_dir)))
 
 
 @query("select id, date, sales from prim where Client = 15 and Product = 65")
@@ -359,11 +358,10 @@ def leaderboard(spark, sf_dir):
     return dashboard.leaderboard(rounded(scores.calc_cv_scores(cv_forecast(prim), prim)[2]))
 
 
-@query("select cast(cutoff_date as varchar) as cutoff_date, model, score from cutscore where cutoff_date > date '2001-03-01'", "score")
+@query("select cast(cutoff_date as varchar) as cutoff_date, model, score from cutscore", "score")
 def cutoff_scores(spark, sf_dir):
-    """Scores of chosen folds, long (Q9)."""
-    wide = _cv_scores(spark, sf_dir).filter(F.col("cutoff_date") > F.lit("2001-03-01").cast("date"))
-    return rounded(dashboard.cutoff_scores_long(wide))
+    """Scores of all folds, long (Q9)."""
+    return rounded(dashboard.cutoff_scores_long(_cv_scores(spark, sf_dir)))
 
 
 @query(
@@ -471,13 +469,11 @@ def series_lines(spark, sf_dir):
 
 @query(
     """select id, sum(abs(error)) as error from errors where model = 'SeasonalNaive'
-         and cutoff_date > date '2001-03-01' group by 1 order by 2 desc, 1 limit 50"""
+         group by 1 order by 2 desc, 1 limit 50"""
 )
 def worst_series(spark, sf_dir):
-    """Series with the largest absolute error of one model (Q17)."""
-    errors = _errors(spark, sf_dir)
-    late = errors.filter(F.col("cutoff_date") > F.lit("2001-03-01").cast("date"))
-    return dashboard.worst_series(late, "SeasonalNaive", 50)
+    """Series with the largest absolute error of one model over all folds (Q17)."""
+    return dashboard.worst_series(_errors(spark, sf_dir), "SeasonalNaive", 50)
 
 
 @query("select id from scale where sales_scale > 12")
