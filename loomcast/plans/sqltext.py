@@ -146,4 +146,5 @@ def sql(body: str) -> str:
     if not order:
         return body.strip()
     head = ",\n".join(f"{n} as ({CTES[n]})" for n in order)
-    return f"with {head}\n{body.strip()}"
+    recursive = "recursive " if any(re.search(rf"\b{n}\b", CTES[n]) for n in order) else ""
+    return f"with {recursive}{head}\n{body.strip()}"

@@ -245,6 +245,59 @@ def test_segmentation_is_the_brute_force_optimum():
         assert np.isclose(cost(regimes.segment_ends(y, [n], penalty=1.0)[0]), cost(want))
 
 
+def _plain_segmentation(y, n, penalty):
+    """Cost of the best segmentation of y[:n] from the whole kernel matrix, and of any given one."""
+    d2 = (y[:n, None] - y[None, :n]) ** 2
+    med = np.median(d2[np.triu_indices(n, 1)])
+    k = np.exp(-np.clip(d2 / (med or 1.0), *regimes.KERNEL_RANGE))
+    np.fill_diagonal(k, 1.0)
+    total = np.zeros((n + 1, n + 1))
+    total[1:, 1:] = k.cumsum(0).cumsum(1)
+
+    def part(a, b):
+        return b - a - (total[b, b] - 2 * total[a, b] + total[a, a]) / (b - a) + penalty
+
+    best = {0: 0.0}
+    for b in range(5, n, 5):
+        best[b] = min(best[a] + part(a, b) for a in best)
+    return min(best[a] + part(a, n) for a in best if a <= n - 2), lambda ends: sum(map(part, [0, *ends], ends))
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_pruned_race_is_as_good_as_the_whole_matrix(kind):
+    rng = np.random.default_rng(kind)
+    for _ in range(12):
+        n = int(rng.integers(2, 160))
+        y = [
+            rng.poisson(3, n).astype(float),
+            np.repeat(rng.normal(size=8) * 5, 20)[:n] + rng.normal(size=n) * 0.3,
+            (rng.random(n) < 0.1) * rng.poisson(30, n).astype(float),
+            3.0 + rng.choice([0, 1e-3, 0.1], n),  # near the flat top of the clipped kernel
+            np.cumsum(rng.normal(size=n)),
+        ][kind]
+        lengths = sorted({*(int(x) for x in rng.integers(0, n + 1, 4)), min(n, n // 5 * 5 + 1), n})
+        for penalty in (0.5, 2.0, 11.0):
+            for m, ends in zip(lengths, regimes.segment_ends(y, lengths, penalty)):
+                if m < 2:
+                    assert ends == ([m] if m else [])
+                    continue
+                want, cost = _plain_segmentation(y, m, penalty)
+                assert ends[-1] == m and np.isclose(cost(ends), want, atol=1e-7), (m, penalty, ends)
+        for m in lengths:
+            if m >= 2:
+                d2 = (y[:m, None] - y[None, :m]) ** 2
+                assert np.isclose(regimes.median_square(y[:m]), np.median(d2[np.triu_indices(m, 1)]), rtol=1e-15, atol=0)
+
+
+def test_starts_that_cannot_win_are_dropped():
+    rng = np.random.default_rng(0)
+    y = np.repeat(rng.normal(size=10) * 20, 50) + rng.normal(size=500)
+    race = regimes._Race(y, np.array([1 / regimes.median_square(y)]), regimes.PENALTY)
+    while race.done + regimes.JUMP < len(y):
+        race.advance(1)
+    assert len(race.starts) < 30 and race.kernel_values < len(y) ** 2 / 3
+
+
 def test_fold_regimes_cover_every_train_week(make_panel):
     p = make_panel({"1-1-1": [10.0] * 60 + [100.0] * 60, "1-1-2": [1.0] * 5})
     cv = CvConfig(n_windows=2)
