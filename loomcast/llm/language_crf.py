@@ -23,6 +23,7 @@ import io
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -167,10 +168,14 @@ def chosen_lines(lines: DataFrame, sample: int) -> DataFrame:
     bounds = [
         (k, q, min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, 1.5 * (q + 10) / max(counts[k], 1))))) for k, q in quota.items()
     ]
-    limits = lines.sparkSession.createDataFrame(bounds, "label string, quota long, top long")
-    kept = lines.join(limits, "label").where(F.col("h") <= F.col("top")).groupBy("label", "line", "h", "quota").agg(F.lit(1).alias("one"))
+    if not bounds:
+        return lines.select("label", "line")
+    # a literal per label: the filter comes before any exchange, and nothing is joined
+    quotas, tops = (F.create_map(*[F.lit(x) for b in bounds for x in (b[0], b[k])]) for k in (1, 2))
+    kept = lines.where(F.col("h") <= F.try_element_at(tops, F.col("label"))).groupBy("label", "line", "h").agg(F.lit(1).alias("one"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("h", "line"))
-    return kept.withColumn("place", place).where(F.col("place") <= F.col("quota")).select("label", "line")
+    within = F.col("place") <= F.try_element_at(quotas, F.col("label"))
+    return kept.withColumn("place", place).where(within).select("label", "line")
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> bytes | None:
@@ -195,13 +200,14 @@ class _Predict:
             if len(place) > _KEPT:
                 place.clear()
                 table, lettered = table[:0], lettered[:0]
-            new = list(dict.fromkeys(w for ws in words for w in ws if w not in place))
+            flat = list(chain.from_iterable(words))
+            new = [w for w in dict.fromkeys(flat) if w not in place]
             if new:
                 place.update(zip(new, range(len(place), len(place) + len(new))))
                 table = np.concatenate([table, *[field.scores(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]])
                 lettered = np.concatenate((lettered, [any(map(str.isalpha, w)) for w in new]))
             first = np.concatenate(([0], np.cumsum([len(ws) for ws in words])))
-            at = np.fromiter((place[w] for ws in words for w in ws), np.int64, int(first[-1]))
+            at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             if len(at):
                 post, _ = field.posteriors(table[at], first)
