@@ -171,7 +171,7 @@ def chosen_lines(lines: DataFrame, sample: int) -> DataFrame:
     if not bounds:
         return lines.select("label", "line")
     # a literal per label: the filter comes before any exchange, and nothing is joined
-    quotas, tops = (F.create_map(*[F.lit(x) for b in bounds for x in (b[0], b[k])]) for k in (1, 2))
+    quotas, tops = (F.create_map(*[x for b in bounds for x in (F.lit(b[0]), F.lit(b[k]).cast("long"))]) for k in (1, 2))
     kept = lines.where(F.col("h") <= F.try_element_at(tops, F.col("label"))).groupBy("label", "line", "h").agg(F.lit(1).alias("one"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("h", "line"))
     within = F.col("place") <= F.try_element_at(quotas, F.col("label"))
