@@ -213,15 +213,16 @@ def gram_sums(spark, sf_dir):
 def _candidates(spark, sf_dir, live: bool = False):
     """Baselines plus fitted models, wide, written once; and their total scores."""
     prim = materialize(primary(spark, sf_dir), "panel")
-    base = naive.cross_validate(prim)
-    stat = batches.kernel_forecast(prim, STAT_KERNELS).drop("fold")
-    fc = materialize(joins.join_cv_preds(base, stat, check=False), "forecast")
+    # each input is written once; the check of their lengths reads row counts only
+    base = materialize(naive.cross_validate(prim), "baselines")
+    stat = materialize(batches.kernel_forecast(prim, STAT_KERNELS).drop("fold"), "fitted")
+    fc = materialize(joins.join_cv_preds(base, stat), "forecast")
     total = materialize(scores.calc_cv_scores(fc, prim)[2], "scores")
     if not live:
         return prim, fc, total
-    lb = naive.live_forecast(prim)
+    lb = materialize(naive.live_forecast(prim), "baselines")
     ls = batches.kernel_forecast(prim, STAT_KERNELS, folds=False, live=True).drop("fold", "cutoff_date")
-    return prim, fc, total, materialize(joins.join_live_preds(lb, ls, check=False), "live")
+    return prim, fc, total, materialize(joins.join_live_preds(lb, materialize(ls, "fitted")), "live")
 
 
 @query()
@@ -275,8 +276,11 @@ def full_leaderboard(spark, sf_dir):
     prim, fc, total = _candidates(spark, sf_dir)
     ow = materialize(weights.cross_validate(fc, prim, total), "ow")
     st = materialize(stacking.cross_validate(fc, prim, total), "st")
-    cls = classes.classify_panel(prim)
+    feats = features.calculate_cv_tsfeatures(prim)
+    gate = materialize(gating.cross_validate(fc, feats, scores.clipped_scores(fc, prim), total), "gate")
+    cls = materialize(classes.classify_panel(prim), "classes")
     rule = rules.class_ensemble(fc, cls, {**rules.CLASS_MODELS, "regular": "AutoETS", "small_sales": "AutoETS"})
     divine = rules.divine_ensemble(cls, fc, ow)
-    everything = joins.join_cv_preds(with_mix(fc), ow, st, rule, divine, check=False)
+    parts = [materialize(p, "part") for p in (rule, divine)]
+    everything = joins.join_cv_preds(with_mix(fc), ow, st, gate, *parts)
     return dashboard.leaderboard(scores.calc_cv_scores(everything, prim)[2])
