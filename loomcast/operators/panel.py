@@ -74,16 +74,6 @@ def forecast_to_long(
     return long.withColumn("model", strip_prefix("model"))
 
 
-def forecast_to_wide(
-    df: DataFrame, models: Sequence[str], index: Sequence[str] = ("id", "date", "cutoff_date")
-) -> DataFrame:
-    """Long forecasts to one column per named model (one shuffle)."""
-    picked = [
-        F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(PRED + m) for m in models
-    ]
-    return df.groupBy(*index).agg(*picked)
-
-
 def pivot_dates(df: DataFrame, keys: Sequence[str], value: str, dates: Sequence[str]) -> DataFrame:
     """One column per listed ISO date; the list is explicit, so no extra pass finds it."""
     return df.groupBy(*keys).pivot("date", list(dates)).agg(F.first(value))

@@ -24,8 +24,9 @@ def format_submission(
     missing = {"id", "date", "pred"} - set(preds.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    dates = dates or _forecast_dates(preds)
-    if dates != sorted(dates):
+    if dates is None:
+        dates = _forecast_dates(preds)
+    elif dates != sorted(dates):
         raise ValueError("date columns are not in order")
     keyed = preds.select(*split_id(), F.date_format("date", "yyyy-MM-dd").alias("date"), "pred")
     # written once: the check and the caller read the same rows
@@ -55,9 +56,10 @@ def submission_table(
     table = materialize(pivot_dates(keyed, ["model", *KEYS], "pred", dates), "submissions")
     if check:
         expected = raw_sales.count()
-        for r in table.groupBy("model").count().collect():
-            if r["count"] != expected:
-                raise ValueError(f"{r['model']} has {r['count']} rows, raw file {expected}")
+        found = {r["model"]: r["count"] for r in table.groupBy("model").count().collect()}
+        for name in (c[len(PRED):].lower() for c in cols):
+            if found.get(name, 0) != expected:
+                raise ValueError(f"{name} has {found.get(name, 0)} rows, raw file {expected}")
     return table
 
 

@@ -8,7 +8,7 @@ from loomcast.config import PRED
 from loomcast.functions import expr
 from loomcast.operators import cv as C
 from loomcast.operators import dashboard, naive, scale, scores
-from loomcast.plans.base import MIX, cv_forecast, primary, rounded, thin, weeks
+from loomcast.plans.base import cv_forecast, primary, rounded, thin, weeks
 from loomcast.plans.registry import query
 from loomcast.plans.sqltext import register
 from loomcast.sources.lineage import materialize
