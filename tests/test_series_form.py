@@ -7,9 +7,10 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from loomcast.operators import classes, features, naive, prefix, scores
+from loomcast.config import DEFAULT_CV
+from loomcast.operators import classes, dashboard, features, naive, prefix, regimes, scores
 from loomcast.operators.cv import rolling_origin, rolling_origin_series, to_series
-from loomcast.operators.panel import remove_leading_zeros
+from loomcast.operators.panel import remove_leading_zeros, to_long
 from loomcast.plans import base
 from loomcast.sources import panels
 
@@ -91,3 +92,40 @@ def test_fold_rows_and_scores_from_arrays(spark, star):
     joined = scores.clipped_scores(naive.cross_validate(panel), panel)
     beside = scores.clipped_scores(naive.cross_validate(series, actual=True), None)
     assert repr(_sorted(beside)) == repr(_sorted(joined))
+
+
+def test_wide_layout_and_stacked_folds(spark, star):
+    cube = panels.weekly_panel(spark, star).filter("phase = 1")
+    cols = ["Client", "Warehouse", "Product", "date"]
+    for value, name in (("y", "sales"), ("prices", "price")):
+        wide = panels.wide(spark, star, 1, value)
+        want = cube.selectExpr(*cols[:3], "cast(date as string) as date", name)
+        assert _sorted(to_long(wide, name)) == _sorted(want)
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "pivot" not in plan
+
+
+def test_regimes_carry_sales(spark, make_panel):
+    steps = {f"1-1-{k}": [1.0] * 40 + [30.0] * 40 for k in range(4)}
+    panel = make_panel({**steps, "1-1-9": [2.0] * 30})
+    series = to_series(panel)
+    parts = regimes.calculate_live_partition(panel, 1.5, 1e-3)
+    beside = regimes.calculate_live_partition(series, 1.5, 1e-3, values=True)
+    cols = ["id", "date", "sales", "partition"]
+    want = _sorted(panel.join(parts, ["id", "date"]).select(cols))
+    assert _sorted(beside.select(cols)) == want
+    old = dashboard.regime_view(panel.select("id", "date", "sales"), parts, 2)
+    new = dashboard.regime_view(None, beside, 2)
+    assert _sorted(new.select(cols)) == _sorted(old.select(cols)) and new.select("id").distinct().count() == 2
+    assert "BroadcastHashJoin" not in str(
+        dashboard.with_regimes(panel, parts)._jdf.queryExecution().executedPlan().toString()
+    )
+
+
+def test_newest_weeks_cover_the_folds(spark, star):
+    series = panels.weekly_series(spark, star)
+    forecast = naive.cross_validate(series)
+    cv = DEFAULT_CV
+    newest = panels.rows(series, last=(cv.n_windows - 1) * cv.step + cv.h)
+    want, got = (_sorted(base.rounded(scores.error_sums(forecast, x))) for x in (panels.rows(series), newest))
+    assert got == want
