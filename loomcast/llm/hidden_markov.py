@@ -7,8 +7,9 @@ counts of the whole training corpus.  So every token, seen or not, has a probabi
 model's size is fixed while its counts are those of the corpus.
 
 Baum-Welch runs over all training texts: tasks turn forward-backward posteriors into expected
-counts, which Spark sums; the starting point comes from a few more steps on a
-bounded sample of texts.  Scores are scaled forward recursions.
+counts, which Spark sums.  The starting point comes from all training texts too: tasks count
+the classes before and after each class, and classes of like neighbours, a cluster, share
+a state.  Scores are scaled forward recursions.
 
 Texts are cut into chunks by task; a chunk lists its distinct tokens once, so counts travel to
 and from the corpus table per chunk and token, and not per token of text.
@@ -39,9 +40,10 @@ FREQUENT = 4096  # tokens with a class of their own
 ENDINGS = 4096  # classes of the other tokens
 CLASSES = FREQUENT + ENDINGS
 STATES = 8
-SAMPLE = 2000  # texts behind the starting point
+BUCKETS = 64  # neighbouring classes told apart for the starting point; the most frequent ones have a bucket of their own
+OWN = 24
 CHUNK = 12 << 20  # bytes of text in one chunk
-PART = 400_000  # tokens taken through a recursion at once
+PART = 200_000  # tokens taken through a recursion at once
 END = np.uint64(0x5EED0FE4D0C0FFEE)
 _NATS = np.log(10.0)
 
@@ -162,8 +164,12 @@ def _decode(docs: pa.Table, tokens: pa.Table, total: int, distinct: int, class_l
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows with about `PART` tokens, their classes one after another, and the chains' bounds."""
+    """Rows with about `PART` tokens, their classes one after another, and the chains' bounds.
+
+    The rows of a batch come longest first: a part takes as many steps as its longest chain has.
+    """
     for batch in batches:
+        batch = batch.take(pa.array(np.argsort(-np.array(batch.column("n")), kind="stable")))
         sizes = np.array(batch.column("n"))
         ends, begin = np.cumsum(sizes), 0
         while begin < len(sizes):
@@ -212,19 +218,55 @@ def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": rows["at"].iloc[:1], "data": [total.tobytes()]})
 
 
-def _first_model(rows: pa.Table) -> pa.Table:
-    """Grouped job: Baum-Welch from a random start on the bounded sample."""
-    rows = rows.sort_by([("doc_id", "ascending"), ("classes", "ascending")])
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow job: a task's counts of each class, and of the buckets of classes after and before it, in slices of rows."""
+    every = np.arange(CLASSES)
+    bucket = np.where(every < OWN, every, OWN + (T.mix(every.astype(np.uint64)) % np.uint64(BUCKETS - OWN)).astype(np.int64))
+    total = np.zeros((CLASSES, 1 + 2 * BUCKETS), np.int64)
+    for _, classes, first in _parts(batches):
+        total[:, 0] += np.bincount(classes, minlength=CLASSES)
+        inside = np.ones(len(classes), bool)
+        inside[first[1:] - 1] = False  # the last of a chain has none after it
+        a = np.flatnonzero(inside)
+        here, ahead = classes[a], classes[a + 1]
+        size = CLASSES * BUCKETS
+        total[:, 1 : 1 + BUCKETS] += np.bincount(here * BUCKETS + bucket[ahead], minlength=size).reshape(CLASSES, BUCKETS)
+        total[:, 1 + BUCKETS :] += np.bincount(ahead * BUCKETS + bucket[here], minlength=size).reshape(CLASSES, BUCKETS)
+    at = range(0, CLASSES, 512)
+    yield pa.record_batch([pa.array(list(at), pa.int32()), pa.array([total[i : i + 512].tobytes() for i in at], pa.binary())], ["at", "data"])
+
+
+def _sum_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(d, np.int64) for d in rows["data"])
+    return pd.DataFrame({"at": rows["at"].iloc[:1], "data": [total.tobytes()]})
+
+
+def _first_model(counts: np.ndarray) -> Model:
+    """States from classes of like neighbours: k-means of the square roots of their shares, weighted by the classes' counts."""
+    n, sides = counts[:, 0].astype(np.float64), counts[:, 1:].reshape(CLASSES, 2, BUCKETS).astype(np.float64)
+    everywhere = sides.sum(axis=0) + 1.0
+    sides += 200.0 * everywhere / everywhere.sum(axis=1, keepdims=True)  # a rare class looks like the average
+    points = np.sqrt(sides / sides.sum(axis=2, keepdims=True)).reshape(CLASSES, -1)
     rng = np.random.default_rng(5)
-    move = np.full((STATES, STATES), 0.02 / STATES) + 0.98 * np.eye(STATES)
-    parts = list(_parts(iter(rows.combine_chunks().to_batches())))
-    seen = sum(np.bincount(c, minlength=CLASSES) for _, c, _ in parts) + 0.1
-    emit = seen[:, None] * rng.gamma(2.0, size=(CLASSES, STATES))
-    model = Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
-    for _ in range(15):
-        found = [_expected(model, c, f)[:3] for _, c, f in parts]
-        model = _maximised(*[sum(x) for x in zip(*found)])
-    return pa.table({"data": pa.array([np.concatenate((model.start[None], model.move, model.emit)).tobytes()], pa.binary())})
+    distance = lambda c: np.maximum((points**2).sum(axis=1)[:, None] - 2 * points @ c.T + (c**2).sum(axis=1), 0)
+    least, owner = np.inf, np.zeros(CLASSES, np.int64)
+    for _ in range(24):  # the best of some random starts
+        centres = points[rng.choice(CLASSES, 1, p=n / n.sum())]
+        while len(centres) < STATES:
+            far = n * distance(centres).min(axis=1) + 1e-12
+            centres = np.concatenate((centres, points[rng.choice(CLASSES, 1, p=far / far.sum())]))
+        for _ in range(20):
+            away = distance(centres)
+            found = away.argmin(axis=1)
+            member = (found[:, None] == np.arange(STATES)) * n[:, None]
+            size = member.sum(axis=0)[:, None]
+            centres = np.where(size > 0, member.T @ points / np.maximum(size, 1), centres)
+        loss = float((n * away.min(axis=1)).sum())
+        if loss < least:
+            least, owner = loss, found
+    emit = (n[:, None] + 0.1) * np.where(owner[:, None] == np.arange(STATES), 1.0, 0.05)
+    move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
+    return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
 
 def _unpack(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,10 +330,11 @@ def language_model_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_
     sequences = materialize(sequences, "hmm-classes")
 
     training = sequences.where("not held")
-    sample = training.where("n > 1").orderBy(F.xxhash64("doc_id", "n"), "classes").limit(SAMPLE).select("doc_id", "n", "classes")
-    found = sample.groupBy(F.lit("all").alias("one")).applyInArrow(_first_model, "data binary").collect()
-    if found:
-        model = Model(*_unpack(np.frombuffer(bytes(found[0]["data"])).reshape(-1, STATES)))
+    around = training.select("n", "classes").mapInArrow(_neighbours, "at int, data binary").groupBy("at").applyInPandas(_sum_counts, "at int, data binary")
+    slices = sorted(around.collect(), key=lambda r: r["at"])  # the model's own size
+    counts = np.concatenate([np.frombuffer(bytes(r["data"]), np.int64) for r in slices] or [np.empty(0, np.int64)]).reshape(-1, 1 + 2 * BUCKETS)
+    if counts.any():
+        model = _first_model(counts)
         for _ in range(rounds):
             parts = training.select("n", "classes").mapInArrow(_expect_job(model), "at int, data binary").groupBy("at").applyInPandas(_sum, "at int, data binary")
             got = sorted(parts.collect(), key=lambda r: r["at"])  # the model's own size

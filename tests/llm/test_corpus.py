@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,35 @@ def test_hidden_markov_recursion_is_exact():
     assert np.isclose(emitted.sum(), sum(map(len, seqs)), atol=1e-3) and m == 4
 
 
+def test_hidden_markov_starts_from_all_training_texts(spark):
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(0, hidden_markov.CLASSES, n) for n in (5, 1, 9, 2, 300)]
+    batch = lambda part: pa.record_batch([pa.array([len(q) for q in part]), pa.array([q.astype("<u2").tobytes() for q in part])], ["n", "classes"])
+    width = 1 + 2 * hidden_markov.BUCKETS
+    count = lambda batches: np.concatenate(
+        [np.frombuffer(d, np.int64) for d in next(hidden_markov._neighbours(iter(batches))).column("data").to_pylist()]
+    ).reshape(-1, width)
+    got = count([batch(seqs[:2]), batch(seqs[2:])])
+    assert np.array_equal(got, count([batch(seqs[:4])]) + count([batch(seqs[4:])]))
+    after, before = (Counter(p) for p in zip(*[((a, b), (b, a)) for q in seqs for a, b in zip(q.tolist(), q.tolist()[1:])]))
+    assert np.array_equal(got[:, 0], np.bincount(np.concatenate(seqs), minlength=hidden_markov.CLASSES))
+    split = 1 + hidden_markov.BUCKETS
+    for part, want in ((got[:, 1:split], after), (got[:, split:], before)):
+        near = Counter()
+        for (a, _), n in want.items():
+            near[a] += n
+        assert {a: int(part[a].sum()) for a in np.flatnonzero(part.sum(axis=1)).tolist()} == near
+    # two vocabularies that never meet, more texts than the former sample: the rarer one comes apart too, however the rows are dealt
+    left, right = ([f"{c}{i}" for i in range(30)] for c in "ab")
+    data = [(i, " ".join(rng.choice(right if i % 20 == 0 else left, 12))) for i in range(2400)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    scores = lambda d: {r["doc_id"]: r["score"] for r in hidden_markov.language_model_scores(d, F.lit(False), rounds=0).collect()}
+    one, many = scores(df.coalesce(1)), scores(df.repartition(3))
+    assert len(one) == 2400 and all(abs(one[i] - many[i]) < 1e-6 * abs(one[i]) for i in one)
+    base = {r["doc_id"]: r["base_score"] for r in hidden_markov.language_model_scores(df, F.lit(False), rounds=0).collect()}
+    assert sum(one[i] - base[i] for i in one if i % 20 == 0) > 0
+
+
 # -- 5
 
 
