@@ -296,6 +296,39 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs):
     assert latent_search.common_subsequence(a, b) == 4
 
 
+def test_latent_space_holds_whole_items_and_loses_no_passage(spark):
+    rng = random.Random(21)
+    vocab = ["w%d" % i for i in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, prose(30)) for i in range(20)] + [(20, "w1 w2 w3"), (21, "w1 w2 w3")]
+    texts = [f"{prose(40)} {' '.join(items[i % 20][1].split()[:15 + i % 15])} {prose(40)}" for i in range(60)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    (block,) = latent_search.fit(df, bench, "item_id", "text", "text")
+    assert block.basis.shape[1] == 21  # one direction for each different item, none from a choice of passages
+    spread, sums, passages = Counter(), 0, []
+    for t in texts:
+        ws = (t or "").split()
+        for at in range(0, max(len(ws) - latent_search.PASSAGE + latent_search.STEP, 1) if ws else 0, latent_search.STEP):
+            part = ws[at : at + latent_search.PASSAGE]
+            sums += 1
+            spread.update(set(part))
+            passages.append(part)
+    idf = {w: max(np.log((sums + 1) / (spread[w] + 1) + 1e-9), 0.05) for _, t in items for w in t.split()}
+    vector = lambda ws: np.array([ws.count(w) * idf[w] for w in sorted(idf)])
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    asked = np.array([unit(vector(t.split())) for _, t in items])
+    assert np.allclose(block.latent @ block.latent.T, asked @ asked.T, atol=1e-4)
+    missed = 0
+    for part in passages:
+        exact = asked @ unit(vector(part))
+        terms = latent_search._term_of(latent_search.T.words_and_hashes([" ".join(part).encode()])[3], block.terms)
+        found = block.latent @ unit(block.basis[terms[terms >= 0]].sum(axis=0))
+        assert (found >= exact - 1e-4).all()
+        missed += int(((exact >= 0.5) & (found < 0.5 - 1e-4)).sum())
+    assert missed == 0
+
+
 # -- 6, 9, 10
 
 
