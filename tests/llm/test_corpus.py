@@ -327,6 +327,13 @@ def test_latent_space_holds_whole_items_and_loses_no_passage(spark):
         assert (found >= exact - 1e-4).all()
         missed += int(((exact >= 0.5) & (found < 0.5 - 1e-4)).sum())
     assert missed == 0
+    # an item at the edge of one passage and the middle of the next: the better cosine is given
+    text = f"{prose(40)} {items[3][1]} {prose(100)}".encode()
+    hit = next(h for h in latent_search._Search([block], latent_search.Limits()).hits([text]) if h[1] == 3)
+    terms = latent_search._term_of(latent_search.T.words_and_hashes([text])[3], block.terms)
+    known = lambda part: part[part >= 0]
+    near = [block.latent[3] @ unit(block.basis[known(terms[at : at + 64])].sum(axis=0)) for at in range(0, 129, 32)]
+    assert hit[2:4] == (30, 30) and np.isclose(hit[4], max(near), atol=1e-4)
 
 
 # -- 6, 9, 10
