@@ -28,10 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.llm import textkit as T
+from loomcast.llm.key_filter import key_filter
 from loomcast.sources.lineage import materialize
 from loomcast.sources.shipping import ship_package
 
@@ -116,35 +118,23 @@ class _Sets:
             )
 
 
-class _Whole:
-    """Arrow job: whole sorted sets of the documents in question."""
-
-    def __init__(self, k: int):
-        self.k = k
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in T.text_groups(batches, 1):
-            hashes, first = shingle_sets(texts, self.k)
-            sets = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.record_batch([rows.column(0), pa.array(sets, pa.binary())], ["key", "whole"])
-
-
 class _Check:
-    """Arrow job: pairs of whole sets -> the pairs that link."""
+    """Arrow job: pairs with their texts -> the pairs whose whole sets link."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, k: int, percent: int):
+        self.k, self.percent = k, percent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows, left in T.text_groups(batches, 2):
+            hashes, first = shingle_sets(left + [t or b"" for t in rows.column(3).cast(pa.binary()).to_pylist()], self.k)
+            sets = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
             good = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            for x, y in zip(sets[: len(left)], sets[len(left) :]):
                 both = np.concatenate((x, y))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= self.percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield rows.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def divide_skip(lists: list[list[int]], t: int, n_long: int) -> dict[int, int]:
@@ -178,39 +168,58 @@ def divide_skip(lists: list[list[int]], t: int, n_long: int) -> dict[int, int]:
     return found
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return min(n - need(n, percent) + MAX_T, n)
+def prefix_size(n, percent: int):
+    return np.minimum(n - need(n, percent) + MAX_T, n)
 
 
-def sure_common(n: int, m: int, percent: int) -> int:
+def sure_common(n, m, percent: int):
     """Prefix shingles that two sets of n and m shingles share if they link.
 
     An overlap of o leaves n - o and m - o shingles outside it, so at least this many of
     either prefix lie inside, and the prefixes follow one order.
     """
     o = -(-percent * (n + m) // (100 + percent))
-    return min(prefix_size(n, percent) - (n - o), prefix_size(m, percent) - (m - o))
+    return np.minimum(prefix_size(n, percent) - (n - o), prefix_size(m, percent) - (m - o))
 
 
-def _search(percent: int):
-    """Grouped job: the lists of one query -> candidates that reach T occurrences."""
+class _Search:
+    """Arrow job: the lists of queries, sorted by query -> candidates that reach T occurrences."""
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        q, n = int(rows["a"].iloc[0]), int(rows["n"].iloc[0])
-        # one search for each size of partner, as the sizes decide how many lists must agree
-        by_size: dict[int, dict[int, list[int]]] = {}
-        for token, ids, sizes in zip(rows["token"], rows["ids"], rows["sizes"]):
-            for i, m in zip(ids.tolist(), sizes.tolist()):
-                if 100 * min(m, n) >= percent * max(m, n):
-                    by_size.setdefault(m, {}).setdefault(token, []).append(i)
-        kept: list[int] = []
-        for m, lists in by_size.items():
-            t = max(1, sure_common(n, m, percent))
-            if len(lists) >= t:
-                kept += [d for d in divide_skip([sorted(ids) for ids in lists.values()], t, t - 1) if d != q]
-        return pd.DataFrame({"a": [q] * len(kept), "b": kept}, dtype="int64")
+    def __init__(self, percent: int):
+        self.percent = percent
 
-    return search
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # columns a, n, token, id, m of the last query, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("ids")
+            long = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))
+            flat = np.stack([batch.column(c).to_numpy()[long] for c in ("a", "n", "token")] + [batch.column(c).flatten().to_numpy() for c in ("ids", "sizes")])
+            cut = int(np.searchsorted(flat[0], flat[0, -1]))
+            if cut or (held and held[0][0, 0] != flat[0, 0]):
+                yield self._found(np.concatenate([*held, flat[:, :cut]], axis=1))
+                held = []
+            held.append(flat[:, cut:])
+        if held:
+            yield self._found(np.concatenate(held, axis=1))
+
+    def _found(self, rows: np.ndarray) -> pa.RecordBatch:
+        # one search for each size of partner, as the sizes decide how many lists must agree
+        a, n, token, ids, m = rows[:, np.lexsort((rows[3], rows[2], rows[4], rows[0]))]
+        search = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (m[1:] != m[:-1]))))
+        starts = np.concatenate(([True], token[1:] != token[:-1]))
+        starts[search] = True
+        t = np.maximum(1, sure_common(n[search], m[search], self.percent))
+        ends = np.append(search[1:], len(a))
+        enough = np.add.reduceat(starts, search, dtype=np.int64) >= t
+        asking, kept = [], []
+        for begin, end, least in zip(search[enough].tolist(), ends[enough].tolist(), t[enough].tolist()):
+            cuts = [*(np.flatnonzero(starts[begin:end]) + begin).tolist(), end]
+            found = divide_skip([ids[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])], least, least - 1)
+            kept += found
+            asking += [a[begin]] * len(found)
+        return pa.record_batch([pa.array(asking, pa.int64()), pa.array(kept, pa.int64())], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,11 +242,12 @@ def components(edges: DataFrame) -> DataFrame:
 def _checked(pairs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link by their whole sets."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = base.join(nodes, "key", "left_semi").dropDuplicates(["key"])
-    sets = materialize(texts.mapInArrow(_Whole(k), "key long, whole binary"), "sets")
-    left = sets.select(F.col("key").alias("a"), F.col("whole").alias("set_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("whole").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_Check(percent), "a long, b long")
+    # the texts in question travel: fewer bytes than their sets, and than the texts of all documents
+    texts = base.where(key_filter(nodes)("key")).dropDuplicates(["key"])
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return rows.mapInArrow(_Check(k, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -291,9 +301,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = materialize(member.select("token", "rep", "n", (F.col("place") != F.col("top")).alias("asks")), "open-lists")
     ranked = member.withColumn("block", F.floor(F.row_number().over(by_token.orderBy("rep")) / BLOCK))
     ordered = F.array_sort(F.collect_list(F.struct("rep", "n")))
-    blocks = ranked.groupBy("token", "block").agg(ordered.alias("list")).select("token", "block", F.col("list.rep").alias("ids"), F.col("list.n").alias("sizes"))
+    blocks = ranked.groupBy("token", "block").agg(ordered.alias("list")).select("token", "list")
     asked = member.where("asks").select("token", F.col("rep").alias("a"), "n")
-    found = asked.join(blocks, "token").groupBy("a").applyInPandas(_search(percent), "a long, b long")
+    partners = F.filter("list", lambda x: fits(x["n"], F.col("n")) & (x["rep"] != F.col("a")))
+    lists = asked.join(blocks, "token").select("a", "n", "token", partners.alias("list")).where(F.size("list") > 0)
+    lists = lists.select("a", "n", "token", F.col("list.rep").alias("ids"), F.col("list.n").alias("sizes"))
+    found = lists.repartition("a").sortWithinPartitions("a").mapInArrow(_Search(percent), "a long, b long")
     a, b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_pairs = (
         found.where("a <> b")

@@ -9,10 +9,12 @@ import string
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomcast.llm import hard_negatives, queries, secret_scan, spelling_variants
+from loomcast.llm import hard_negatives, queries, secret_scan, spelling_variants, t_occurrence
+from loomcast.llm.key_filter import key_filter
 from tests.crosscheck import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -248,3 +250,38 @@ def test_secrets_of_empty_table_and_query(spark, tmp_path):
     assert (got[1].spans, got[1].base_sha256) == ("", hashlib.sha256(b"").hexdigest())
     want = "assign:0:24,hex:8:24"
     assert (got[2].n_assign, got[2].n_access, got[2].n_hex, got[2].base_sha256, got[2].spans) == (1, 0, 1, hashlib.sha256(want.encode()).hexdigest(), want)
+
+
+def test_key_filter_lets_wanted_keys_pass_and_few_others(spark):
+    keys = spark.range(0, 40_000, 2).select(F.col("id").alias("key")).unionByName(spark.createDataFrame([(-(1 << 63),)], "key long"))
+    wanted = key_filter(keys)
+    found = {r["id"] for r in spark.range(40_000).where(wanted("id")).collect()}
+    assert set(range(0, 40_000, 2)) <= found and len(found) < 21_000
+    assert spark.createDataFrame([(-(1 << 63),)], "id long").where(wanted("id")).count() == 1
+    assert spark.range(100).where(key_filter(keys.limit(0))("id")).isEmpty()
+
+
+def test_search_of_queries_that_span_batches():
+    rng = random.Random(5)
+    rows = sorted((rng.randint(1, 6), 20, rng.randint(1, 9)) for _ in range(60))
+    lists = [sorted({rng.randint(10, 30) for _ in range(rng.randint(1, 12))}) for _ in rows]
+    sizes = [[18 + i % 4 for i in ids] for ids in lists]
+    want = set()
+    for a in {r[0] for r in rows}:
+        for b in range(10, 31):
+            m = 18 + b % 4
+            n = len({token for (q, _, token), ids in zip(rows, lists) if q == a and b in ids})
+            if n >= max(1, t_occurrence.sure_common(20, m, 90)):
+                want.add((a, b))
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows)] + [pa.array(x, pa.list_(pa.int64())) for x in (lists, sizes)]
+    whole = pa.record_batch(columns, ["a", "n", "token", "ids", "sizes"])
+    for size in (1, 3, 60):
+        merged = t_occurrence._Search(90)(whole.slice(i, size) for i in range(0, 60, size))
+        got = [(r["a"], r["b"]) for out in merged for r in out.to_pylist()]
+        assert set(got) == want
+
+
+def test_checks_of_pairs_shuffle_no_whole_table_of_texts(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x y z") for i in range(50)], "key long, text string")
+    plan = t_occurrence._checked(spark.createDataFrame([(1, 2)], "a long, b long"), docs, 3, 90)._jdf.queryExecution().toString()
+    assert "asked(" in plan and "LeftSemi" not in plan
