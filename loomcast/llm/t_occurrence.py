@@ -119,14 +119,14 @@ class _Sets:
 
 
 class _Check:
-    """Arrow job: pairs with their texts -> the pairs whose whole sets link."""
+    """Arrow job: pairs with their packed texts -> the pairs whose whole sets link."""
 
     def __init__(self, k: int, percent: int):
         self.k, self.percent = k, percent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, left in T.text_groups(batches, 2):
-            hashes, first = shingle_sets(left + [t or b"" for t in rows.column(3).cast(pa.binary()).to_pylist()], self.k)
+        for rows, left in T.text_groups(batches, 2, 1 << 19):
+            hashes, first = shingle_sets(T.unzipped(left + rows.column(3).to_pylist()), self.k)
             sets = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
             good = []
             for x, y in zip(sets[: len(left)], sets[len(left) :]):
@@ -243,9 +243,9 @@ def _checked(pairs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) that link by their whole sets."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # the texts in question travel: fewer bytes than their sets, and than the texts of all documents
-    texts = base.where(key_filter(nodes)("key")).dropDuplicates(["key"])
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    texts = base.where(key_filter(nodes)("key")).mapInArrow(T.zipped, "key long, z binary").dropDuplicates(["key"])
+    left = texts.select(F.col("key").alias("a"), F.col("z").alias("text_a"))
+    right = texts.select(F.col("key").alias("b"), F.col("z").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(_Check(k, percent), "a long, b long")
 
