@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.llm import textkit as T
+from loomcast.llm.key_filter import key_filter
 from loomcast.sources.lineage import materialize
 from loomcast.sources.shipping import ship_package
 
@@ -167,27 +168,11 @@ class _Parser:
             )
 
 
-def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts packed for the shuffle."""
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=1)
-    for rows, texts in T.text_groups(batches, 1):
-        yield pa.record_batch([rows.column(0), pa.array([pack.compress(t) for t in texts], pa.binary())], ["key", "z"])
-
-
-def _unzipped(rows: pa.RecordBatch) -> list[bytes]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor()
-    return [unpack.decompress(z) if z else b"" for z in rows.column("z").to_pylist()]
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             part = batch.slice(i, rows)
-            yield part, _unzipped(part)
+            yield part, T.unzipped(part.column("z").to_pylist())
 
 
 class _Windows:
@@ -294,8 +279,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("symbol")
     )
     spans = each.select("symbol", "key", "at").join(shared, "symbol").groupBy("key").agg(F.collect_set("at").alias("spans"))
-    to_see = classes.select(F.col("first_key").alias("key"), "sha").join(spans, "key")
-    zipped = base.mapInArrow(_zipped, "key long, z binary")
+    to_see = materialize(classes.select(F.col("first_key").alias("key"), "sha").join(spans, "key"), "repeats-spans")
+    # texts without a shared symbol stay where they are
+    zipped = base.where(key_filter(to_see)("key")).mapInArrow(T.zipped, "key long, z binary")
     seen = zipped.join(to_see, "key").dropDuplicates(["key", "sha", "z"]).select("key", "z", "sha", "spans")
     seen = materialize(seen, "repeats-seen")
     windows = seen.mapInArrow(_Windows(width), _WINDOWS)
@@ -357,7 +343,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"c{i}" for i in range(len(docs.columns))]  # names of the library's own, whatever the columns are called
     rows = docs.toDF(*names)
     key = F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit(LEAST_ID))
-    joined = rows.join(cuts, key == F.col("key"), "left").select(*names, "cuts")
+    cuts = materialize(cuts, "repeats-cuts")
+    # rows that lose nothing stay where they are
+    cut = key_filter(cuts)
+    keyed = rows.withColumn("row_key", key)
+    asked = keyed.where(cut("row_key")).join(cuts, F.col("row_key") == F.col("key"), "left").select(*names, "cuts")
     text_at = docs.columns.index(text_col)
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    return joined.mapInArrow(_cut_job(text_at), schema).toDF(*docs.columns)
+    done = asked.mapInArrow(_cut_job(text_at), schema)
+    return keyed.where(~cut("row_key")).select(*names).unionByName(done).toDF(*docs.columns)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomcast.llm import hard_negatives, queries, secret_scan, spelling_variants, t_occurrence
+from loomcast.llm import hard_negatives, queries, recompression, secret_scan, spelling_variants, t_occurrence
 from loomcast.llm.key_filter import key_filter
 from tests.crosscheck import compare, duck
 
@@ -285,3 +285,13 @@ def test_checks_of_pairs_shuffle_no_whole_table_of_texts(spark):
     docs = spark.createDataFrame([(i, f"w{i} x y z") for i in range(50)], "key long, text string")
     plan = t_occurrence._checked(spark.createDataFrame([(1, 2)], "a long, b long"), docs, 3, 90)._jdf.queryExecution().toString()
     assert "asked(" in plan and "LeftSemi" not in plan
+
+
+def test_rows_that_lose_no_words_are_not_joined(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(i, f"own{i} words only") for i in range(200)] + [(500, passage), (501, "a " + passage + " b"), (None, passage), (502, "c")]
+    out = recompression.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(i, t) for i, t in rows if len(t.split()) < 25] + [(None, passage), (500, ""), (501, "a b")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "asked(" in plan
