@@ -41,9 +41,69 @@ EPOCHS = 3
 _KEPT = 400_000  # words whose scores are kept in a worker
 
 
+_OUTER = ".,;:!?\"'()[]|*#%&$<>"  # taken off both ends of a word
+_SMALL = 0x800  # characters below have at most two bytes
+_ALPHA, _DIGIT = (np.array([f(chr(i)) for i in range(_SMALL)]) for f in (str.isalpha, str.isdigit))
+_CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)  # the usual table of a byte's step
+_SHAPES = np.array([zlib.crc32(f"s{u}{a}{d}".encode()) % BUCKETS for u in (False, True) for a in (False, True) for d in (False, True)])
+
+
+def _state(text: str) -> np.uint32:
+    return np.uint32(zlib.crc32(text.encode()) ^ 0xFFFFFFFF)
+
+
+def _behind(state: np.ndarray | np.uint32, char: np.ndarray) -> np.ndarray:
+    """CRC states after one more character each, of one or two bytes."""
+    two = char >= 128
+    lead = np.where(two, 0xC0 | char >> 6, char)
+    after = _CRC[(state ^ lead) & 255] ^ (state >> np.uint32(8))
+    return np.where(two, _CRC[(after ^ (0x80 | char & 63)) & 255] ^ (after >> np.uint32(8)), after)
+
+
+def _bucket(state: np.ndarray) -> np.ndarray:
+    return (state ^ np.uint32(0xFFFFFFFF)) % BUCKETS
+
+
+def feature_lists(words: list[str], bare: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """`features` of many words, one after another, and the number of each; all characters of `bare`, the
+    lower-cased words without `_OUTER`, are below `_SMALL`."""
+    chars = np.frombuffer("".join(f"^{w}$" for w in bare).encode("utf-32-le"), np.uint32)
+    size = np.array([len(w) for w in bare])
+    begin = np.cumsum(size + 2) - size - 1  # of each word, behind its mark
+    known = np.array([w in lexicon for w in bare])
+    count = 2 * size + 10 + known
+    at = np.cumsum(count) - count
+    out = np.empty(count.sum(), np.int64)
+    out[at] = zlib.crc32(b"b") % BUCKETS
+    sums = [np.concatenate(([0], np.cumsum(kind[chars]))) for kind in (_ALPHA, _DIGIT)]
+    letters, digits = (c[begin + size] - c[begin] for c in sums)
+    upper = np.array([w[:1].isupper() for w in words])
+    out[at + 1] = _SHAPES[4 * upper + 2 * ((letters == size) & (size > 0)) + (digits > 0)]
+    out[at[known] + 2] = [zlib.crc32(b"w" + w.encode()) % BUCKETS for w, ok in zip(bare, known) if ok]
+    at += 2 + known
+    last = len(chars) - 1
+    states = np.full(len(bare), _state("p"), np.uint32)
+    for k in range(3):
+        states = np.where(size > k, _behind(states, chars[np.minimum(begin + k, last)]), states)
+        out[at + k] = _bucket(states)
+    for k in range(1, 5):
+        states, long = np.full(len(bare), _state("e"), np.uint32), np.minimum(size, k)
+        for i in range(k):
+            states = np.where(long > i, _behind(states, chars[np.minimum(begin + size - long + i, last)]), states)
+        out[at + 2 + k] = _bucket(states)
+    two = _behind(_behind(_state("g"), chars)[:-1], chars[1:])
+    three = _behind(two[:-1], chars[2:])
+    at += 7
+    for grams, n in ((two, size + 1), (three, size)):
+        local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at, n) + local] = _bucket(grams[np.repeat(begin - 1, n) + local])
+        at = at + n
+    return out, count
+
+
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
     """Hashed features of one word."""
-    w = word.lower().strip(".,;:!?\"'()[]|*#%&$<>")
+    w = word.lower().strip(_OUTER)
     framed = f"^{w}$"
     names = ["b", f"s{word[:1].isupper()}{w.isalpha()}{any(c.isdigit() for c in w)}"]
     if w in lexicon:
@@ -53,6 +113,10 @@ def features(word: str, lexicon: frozenset[str]) -> list[int]:
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.array(x) for x in lists]), np.array([len(x) for x in lists])
+
+
 class Field:
     def __init__(self, labels: list[str], lexicon: frozenset[str]):
         self.labels, self.lexicon = labels, lexicon
@@ -64,9 +128,20 @@ class Field:
         """Label scores of each word, by its features alone."""
         if not words:
             return np.zeros((0, len(self.labels)), np.float32)
-        feats = [features(w, self.lexicon) for w in words]
-        at = np.concatenate(([0], np.cumsum([len(f) for f in feats])[:-1]))
-        return np.add.reduceat(self.weights[np.concatenate([np.array(f) for f in feats])], at, axis=0)
+        bare = [w.lower().strip(_OUTER) for w in words]
+        small = np.array([w.isascii() or max(w) < chr(_SMALL) for w in bare])
+        out = np.empty((len(words), len(self.labels)), np.float32)
+        for together in (True, False):
+            rows = np.flatnonzero(small == together)
+            if not len(rows):
+                continue
+            mine = [words[i] for i in rows]
+            if together:
+                found, count = feature_lists(mine, [bare[i] for i in rows], self.lexicon)
+            else:
+                found, count = _joined([features(w, self.lexicon) for w in mine])
+            out[rows] = np.add.reduceat(self.weights[found], np.cumsum(count) - count, axis=0)
+        return out
 
     def posteriors(self, scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         emit = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -127,7 +202,7 @@ def _fit(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by([("label", "ascending"), ("line", "ascending")])
     lines, names = [x.split() for x in rows.column("line").to_pylist()], rows.column("label").to_pylist()
     labels = sorted(set(names))
-    counts = Counter(w.lower().strip(".,;:!?\"'()[]|*#%&$<>") for ws in lines for w in ws)
+    counts = Counter(w.lower().strip(_OUTER) for ws in lines for w in ws)
     field = Field(labels, frozenset(w for w, n in counts.most_common(8192) if n > 2 and w))
     field.fit(lines, [labels.index(x) for x in names])
     return pa.table({"model": pa.array([field.dump()], pa.binary())})
