@@ -586,3 +586,60 @@ def test_pipeline_stage_by_stage(spark):
     packed = stages.best_fit_packing(spark, left, SF).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in left.collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == [f.__name__ for _, f in corpus_pipeline.STAGES]
+
+
+def test_features_of_many_words_are_those_of_each():
+    rng = np.random.default_rng(8)
+    chars = list("abcXYZ019'.,;!é߀ΣÉİ中x~^$²")
+    words = ["".join(rng.choice(chars, rng.integers(1, 9))) for _ in range(3000)] + ["the", "The", ".", "é."]
+    lexicon = frozenset(["the", "é"])
+    small = [w for w in words if max(w.lower()) < chr(0x800)]
+    bare = [w.lower().strip(language_crf._OUTER) for w in small]
+    flat, count = language_crf.feature_lists(small, bare, lexicon)
+    want = [language_crf.features(w, lexicon) for w in small]
+    assert count.tolist() == [len(f) for f in want] and flat.tolist() == [x for f in want for x in f]
+    field = language_crf.Field(["a", "b"], lexicon)
+    field.weights = rng.normal(size=field.weights.shape).astype(np.float32)
+    alone = [field.weights[language_crf.features(w, lexicon)].sum(axis=0) for w in words]
+    assert np.allclose(field.scores(words), alone, atol=1e-5)
+
+
+def test_stems_go_to_the_library_once():
+    encode = tokens.PieceEncoder(WORD_BPE, False)
+    asked = []
+    real = encode._encode
+    encode._encode = lambda pieces, *a: asked.extend(pieces) or real(pieces, *a)
+    texts = ["Stem stem, STEM. (stem) don't Été été!", "sTem stem; ÉTÉ"]
+    want = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encode(texts) == want
+    assert sorted(asked) == sorted(["stem", ",", ".", "(", ")", "don", "'t", "été", "!", ";"])
+
+
+def test_token_tables_stay_small(monkeypatch):
+    monkeypatch.setattr(tokens, "_KEPT", 20)
+    for path, spaced in ((WORD_BPE, False), (BYTE_BPE, True)):
+        encode = tokens.PieceEncoder(path, spaced)
+        texts = [f"word{i % 7} some{i} often \x7f{i % 3}" for i in range(300)]
+        got = [ids for i in range(0, 300, 3) for ids in encode(texts[i : i + 3])]
+        assert got == [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert all(len(t) + len(t.old) <= 80 for t in (encode.bare, encode.tail, encode.stems))
+
+
+def test_parts_of_a_region_are_compared_by_known_words_only():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (rng.integers(0, 9, rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        assert latent_search.common_subsequence(a, b) == table[-1, -1]
+    pattern = latent_search.Pattern(np.array([5, 7, 5], np.uint64))
+    places, bits = pattern.places(np.array([1, 5, 2, 7, 3], np.uint64))
+    assert places.tolist() == [1, 3] and bits == [0b101, 0b010]
+    count = rng.integers(0, 33, 60)
+    table, rows = rng.normal(size=(50, 7)).astype(np.float32), rng.integers(0, 50, count.sum())
+    at = np.cumsum(count) - count
+    want = np.zeros((60, 7), np.float32)
+    want[count > 0] = np.add.reduceat(table[rows], at[count > 0], axis=0)
+    assert np.array_equal(latent_search._segment_sums(table, rows, count), want)
