@@ -61,6 +61,15 @@ def test_thin_rows_come_without_window(spark, star):
     assert "Generate" in plan and "Window" not in plan and "SortMergeJoin" not in plan
 
 
+def test_filling_the_calendar_is_not_copied_into_filters(spark, star):
+    for dense in (base.primary, base.thin, panels.weekly_panel):
+        df = dense(spark, star)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+        assert filters and not any("zip_with" in f or "sort_array" in f or "array_sort" in f for f in filters)
+        assert plan.count("sort_array(") + plan.count("array_sort(") == 1  # sorted once a series, outside all lambdas
+
+
 def test_class_inputs_of_arrays_equal_those_of_rows(spark, star, make_panel):
     rng = np.random.default_rng(2)
     made = make_panel({
