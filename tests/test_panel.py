@@ -205,3 +205,20 @@ def test_thin_panel_reads_every_supplier(spark, tmp_path):
     series = {tuple(r) for r in got.select("Warehouse", "Product").distinct().collect()}
     assert series == {(s, p) for s in range(1, 26) for p in (1, 2)}
     assert got.count() == 50 * 4
+
+
+def test_min_train_size_counts_before_rows_are_multiplied(make_panel):
+    """Folds of at least that many train weeks, whole, and no window over the multiplied rows."""
+    p = make_panel({"1-1-1": [1.0] * 40, "1-1-2": [2.0] * 30, "1-1-3": [3.0] * 12})
+    rows = C.rolling_origin(p.select("id", "date"), h=13, n_windows=3, step=6, min_train_size=15)
+    every = C.rolling_origin(p.select("id", "date"), h=13, n_windows=3, step=6)
+    train = {}
+    for r in every.collect():
+        train[r["id"], r["fold"]] = train.get((r["id"], r["fold"]), 0) + (not r["is_test"])
+    kept = {k for k, n in train.items() if n >= 15}
+    assert kept == {("1-1-1", 0), ("1-1-1", 1), ("1-1-1", 2), ("1-1-2", 0)}
+    key = lambda r: (r["id"], r["fold"], r["date"])
+    want = sorted((r for r in every.collect() if (r["id"], r["fold"]) in kept), key=key)
+    assert sorted(rows.collect(), key=key) == want and rows.columns == every.columns
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # the explode stands above every window
