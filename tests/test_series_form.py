@@ -6,12 +6,13 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomcast.config import DEFAULT_CV
-from loomcast.operators import classes, dashboard, features, naive, prefix, regimes, scores
+from loomcast.operators import classes, dashboard, features, naive, prefix, regimes, scores, trees
 from loomcast.operators.cv import rolling_origin, rolling_origin_series, to_series
 from loomcast.operators.panel import remove_leading_zeros, to_long
-from loomcast.plans import base
+from loomcast.plans import base, lag_models
 from loomcast.sources import panels
 
 
@@ -138,3 +139,16 @@ def test_newest_weeks_cover_the_folds(spark, star):
     newest = panels.rows(series, last=(cv.n_windows - 1) * cv.step + cv.h)
     want, got = (_sorted(base.rounded(scores.error_sums(forecast, x))) for x in (panels.rows(series), newest))
     assert got == want
+
+
+def test_complete_lag_rows_equal_dropped_rows(spark, make_panel):
+    rng = np.random.default_rng(3)
+    gaps = [None if i in (20, 90) else float(i % 5) for i in range(140)]
+    panel = make_panel({"1-1-1": rng.integers(0, 9, 130).tolist(), "1-1-2": gaps, "1-1-3": [2.0] * 50, "1-1-4": [1.0] * 110})
+    design = trees.lag_design(panel)
+    kept = design.na.drop(subset=trees.RECURSIVE_LAGGED)
+    want = _sorted(kept.groupBy("id").agg(F.count("*").alias("n"), F.min("date").alias("first_date")))
+    found = lag_models._complete_rows(design)
+    assert _sorted(found) == want and {r[0] for r in want} == {"1-1-1", "1-1-2", "1-1-4"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("sort_array" in line for line in plan.splitlines() if "Filter" in line)
